@@ -45,7 +45,7 @@ def house_src(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.when(F.col("l_linestatus") == "F", F.concat(n, F.lower("l_returnflag"))).when(F.col("l_linenumber") % 2 == 0, F.concat(n, F.lit("-"), (F.col("l_linenumber") + 2).cast("string"))).otherwise(n)
     o = F.col("l_orderkey")
     return li.join(p, "l_partkey").select(
-        (o * 10 + F.col("l_linenumber")).alias("house_id"), F.col("name").alias("street"), F.when(o % 13 == 0, "ELSEWHERE").otherwise(F.col("city")).alias("city"),
+        (F.col("l_partkey") * 10_000_000_000 + o * 10 + F.col("l_linenumber")).alias("house_id"), F.col("name").alias("street"), F.when(o % 13 == 0, "ELSEWHERE").otherwise(F.col("city")).alias("city"),
         F.when(o % 7 == 0, "99999").when(o % 5 == 0, None).otherwise(F.col("postcode")).alias("postcode"), number.alias("number"),
         F.when(o % 17 != 0, F.col("lat_e7") + (F.col("l_linenumber") * 900).cast("int")).alias("lat_e7"), F.when(o % 17 != 0, F.col("lon_e7")).alias("lon_e7"),
     )
@@ -63,7 +63,7 @@ place as (
 )"""
 HOUSE_SQL = PLACE_SQL + """,
 house as (
-  select l_orderkey * 10 + l_linenumber as house_id, p.name as street, case when l_orderkey % 13 = 0 then 'ELSEWHERE' else p.city end as city,
+  select l_partkey * 10000000000 + l_orderkey * 10 + l_linenumber as house_id, p.name as street, case when l_orderkey % 13 = 0 then 'ELSEWHERE' else p.city end as city,
          case when l_orderkey % 7 = 0 then '99999' when l_orderkey % 5 = 0 then null else p.postcode end as postcode,
          case when l_linestatus = 'F' then l_linenumber || lower(l_returnflag) when l_linenumber % 2 = 0 then l_linenumber || '-' || (l_linenumber + 2) else l_linenumber::varchar end as number,
          case when l_orderkey % 17 <> 0 then p.lat_e7 + l_linenumber * 900 end as lat_e7, case when l_orderkey % 17 <> 0 then p.lon_e7 end as lon_e7
