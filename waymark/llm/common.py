@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are worked on at once; only a longer single text exceeds it.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 #: Bytes whose token hashes are computed at once.
 SEGMENT = 1 << 18
 
@@ -44,7 +44,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of texts go to Python workers in batches of a few MB; the default of 10,000 rows takes tens of MB on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
