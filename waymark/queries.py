@@ -237,6 +237,7 @@ def segment_merge(spark, d):
 def _street_docs(spark, d) -> tuple[DataFrame, DataFrame]:
     """Street keys and documents of the places, one document a key."""
     rows = build.numbered(segment_merge(spark, d), [F.col("name").asc(), F.col("city").asc(), F.col("postcode").asc_nulls_last()], "doc_id", stager(spark))
+    rows = stager(spark)(rows)
     return rows.select("name", "city", "postcode", "doc_id"), rows.select("doc_id", F.lit(True).alias("has_point"), F.col("lat_e7").cast("int"), F.col("lon_e7").cast("int"), "importance", "name", "city", "postcode")
 
 
