@@ -88,17 +88,16 @@ def test_similar_sets_share_a_signature(n):
         if 4 * both >= 3 * (len(a) + len(b) - both):
             assert np.intersect1d(m.signatures(a), m.signatures(b)).size
             assert m._may_link(m.sketch(a), m.sketch(b))
-            assert not m.hubs_apart(m._unpacked(m.wide_sketch(a)), m._unpacked(m.wide_sketch(b)))
+            assert not m.hubs_apart(m._unpacked(m.wide_sketch(a)), m._unpacked(m.wide_sketch(b)), 0, len(a) + len(b))
 
 
 def test_hubs_apart_is_safe():
-    """Sets that link with hubs told apart never link."""
+    """The distance that sketches give is never more than the sets'."""
     r = np.random.default_rng(5)
-    for _ in range(200):
+    for _ in range(300):
         n = int(r.integers(8, 200))
         x = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
         y = np.unique(np.concatenate([x[: int(r.integers(0, n))], r.integers(0, 2**64, int(r.integers(1, n)), dtype=np.uint64)]))
-        if m.hubs_apart(m._unpacked(m.wide_sketch(x)), m._unpacked(m.wide_sketch(y))):
-            both = len(np.intersect1d(x, y))
-            d = len(x) + len(y) - 2 * both
-            assert 21 * d > 11 * (len(x) + len(y))
+        d = len(x) + len(y) - 2 * len(np.intersect1d(x, y))
+        for reach in (0, 100):
+            assert not m.hubs_apart(m._unpacked(m.wide_sketch(x)), m._unpacked(m.wide_sketch(y)), reach, max(0, 7 * d - reach))

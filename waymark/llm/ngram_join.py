@@ -6,9 +6,15 @@ n1 = floor(k/2)+1 partitions, so in one of them at most one feature differs; eac
 choice of two of the three gives a signature (the sum of the hashes of the features that fall there, plain if k = 0).
 Similar sets share one signature at least; each signature's holders are candidates, whose sets are compared exactly.
 
-Shuffled are packed signatures (8 bytes each), once; then the sets of documents that have a candidate. Links are
-verified in rounds: first each candidate set against one partner, then whatever pairs aren't connected by links yet,
-until none is left, so a group of many copies costs about one comparison each and no link between groups is missed.
+Before that, sets that can't have a partner are told by an exact count. In similar sets A and B at most |A|/4 of A's
+features are missing in B, so of A's features in the lower half of the hash domain, as many but |A|/4 must stand in
+another set too. That half is shuffled (8 bytes each), each set gets the number of its features that are shared, and
+only sets with enough of them go on to signatures.
+
+Shuffled are then packed signatures (8 bytes each), and the sets of documents that have a candidate. Links are
+verified in rounds: first each candidate set against one partner, then what isn't connected by links yet, so a group of many
+copies costs about one comparison each and no link between groups is missed. Pairs between groups are told by hubs: what links with two sets far enough apart can't link, as differing features are a metric. A
+pair is first put to a bound: sets' counts of features in equal ranges of the domain can't differ more than the sets do.
 
 Defined results: null text, or text without words: n_shingles 0, a component of its own. Fewer words than n: the whole
 sequence is the one n-gram. Equal texts, ties and repeated rows: one class each, all rows return. Features are 64-bit
@@ -17,20 +23,25 @@ hashes and classes 64-bit digests of sets: two different ones coincide with a pr
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import groups, ints, mix, powers, slices, span_hashes, staged, table
+from waymark.llm.common import groups, mix, powers, span_hashes, staged, table
 from waymark.llm.components import components
 
 NUM, DEN = 3, 4  # Jaccard
 WORDS = 5
-#: Holders of a signature up to which all pairs are proposed at once; beyond it, pairs with CENTRES of them first.
-SMALL, CENTRES = 8, 3
-#: Words of the bit table (fixed size: 2 MB) that tells documents with candidates.
-FILTER_BITS = 24
+#: Features that may differ in one of the partitions, cells of a partition, and the choices of cells.
+DIFFER, CELLS = 2, 6
+CHOSEN = np.array([[c not in out for out in combinations(range(CELLS), DIFFER)] for c in range(CELLS)], dtype=np.uint64)
+#: log2 of the most bits of the table that tells classes that go on (32 MB at most; beyond it, more go on than need to).
+FILTER_BITS = 28
+HALF, _MASK = np.uint64(1 << 63), (1 << 64) - 1
 
 
 def feature_sets(batch: pa.RecordBatch, words: int):
@@ -77,213 +88,475 @@ BANDS = np.array(_bands(1 << 40))
 
 
 def signatures(s: np.ndarray) -> np.ndarray:
-    """PartEnum signatures of a set, for its own band and the next."""
+    """PartEnum signatures of a set: with its own band, the next and the one before."""
     band = int(np.searchsorted(BANDS, len(s)))
     out = []
-    for b in (band, band + 1):
-        k = int(2 * BANDS[b] * (DEN - NUM) // (DEN + NUM))
-        salt = np.uint64((b + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1)
+    for b, across in ((band, 0), (band, 1), (band - 1, 1)):
+        if b < 0:
+            continue
+        # Most features that differ between sets of band b, or between one of it and one of the next band.
+        k = int(2 * BANDS[b] * (DEN - NUM) // (DEN + NUM)) if not across else int((BANDS[b] + min(BANDS[b + 1], BANDS[b] * DEN // NUM)) * (DEN - NUM) // (DEN + NUM))
+        salt = np.uint64((2 * b + across + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1)
         if not k:
             out.append(mix(s.sum(keepdims=True) + salt))
             continue
-        n1 = k // 2 + 1
+        n1 = k // (DIFFER + 1) + 1
         m = mix(s ^ salt)
-        cell = ((m >> np.uint64(32)) * np.uint64(n1) >> np.uint64(32)) * np.uint64(3) + (m & np.uint64(0xFFFF)) % np.uint64(3)
+        cell = ((m >> np.uint64(32)) * np.uint64(n1) >> np.uint64(32)) * np.uint64(CELLS) + (m & np.uint64(0xFFFF)) % np.uint64(CELLS)
         cell = cell.astype(np.int64)
-        low = np.bincount(cell, (m & np.uint64(0xFFFFFFFF)).astype(float), 3 * n1)
-        high = np.bincount(cell, (m >> np.uint64(32)).astype(float), 3 * n1)
-        sums = (low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))).reshape(n1, 3)
-        out.append(mix((sums.sum(1, keepdims=True) - sums).ravel() + salt + np.arange(3 * n1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+        low = np.bincount(cell, (m & np.uint64(0xFFFFFFFF)).astype(float), CELLS * n1)
+        high = np.bincount(cell, (m >> np.uint64(32)).astype(float), CELLS * n1)
+        sums = (low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))).reshape(n1, CELLS)
+        signed = (sums @ CHOSEN).ravel()
+        out.append(mix(signed + salt + np.arange(len(signed), dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)))
     return np.concatenate(out)
 
 
-def _members(words: int):
+_SENT = "part int, packed binary, ids binary"
+_MEMBERS = f"{_SENT}, doc_id long, n_shingles long, n_half long, class_id long"
+_SIGNED = f"{_SENT}, class_id long, sketch binary, features binary"
+
+
+def _rows(schema: str, **cols) -> pa.RecordBatch:
+    """A batch of the schema, null where no column is given."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    n = len(next(iter(cols.values())))
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(cols[k], kinds[v]) if k in cols else pa.nulls(n, kinds[v]) for k, v in fields], [k for k, _ in fields])
+
+
+class _Packer:
+    """By part, hashes of sets: gaps of the sorted upper 32 bits, and the set's number among the part's ids, byte plane by byte plane (the high ones compress away)."""
+
+    def __init__(self, parts: int):
+        self.parts = parts
+        self.clear()
+
+    def clear(self):
+        self.sigs, self.owners, self.ids, self.size = [], [], [], 0
+
+    def add(self, ident: int, sigs: np.ndarray):
+        self.sigs.append(sigs)
+        self.owners.append(len(sigs))
+        self.ids.append(ident)
+        self.size += len(sigs)
+
+    def full(self) -> bool:
+        return self.size > 1_000_000 or len(self.ids) >= 60_000
+
+    def flush(self) -> dict:
+        sig, own = np.concatenate(self.sigs), np.repeat(np.arange(len(self.ids), dtype=np.uint64), self.owners)
+        ids = np.array(self.ids, dtype=np.int64)
+        self.clear()
+        part = ((sig & np.uint64(0xFFFFFF)) * np.uint64(self.parts) >> np.uint64(24)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        packed = ((sig >> np.uint64(32) << np.uint64(16)) | own)[order]
+        bounds = np.searchsorted(part[order], np.arange(self.parts + 1))
+        used = np.flatnonzero(np.diff(bounds))
+        blobs, names = [], []
+        for p in used:
+            x = np.sort(packed[bounds[p] : bounds[p + 1]])
+            o, back = np.unique(x & np.uint64(0xFFFF), return_inverse=True)
+            gaps = np.diff(x >> np.uint64(16), prepend=np.uint64(0)).astype("<u4")
+            blobs.append(gaps.view(np.uint8).reshape(-1, 4).T.tobytes() + back.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes())
+            names.append(ids[o.astype(np.int64)].tobytes())
+        return {"part": used.astype(np.int32), "packed": blobs, "ids": names}
+
+
+def _members(words: int, parts: int):
+    """Of each row its set's size, features in the lower half, and class; and the packed lower halves of a task's distinct sets."""
+
     def run(batches):
+        seen, packer = set(), _Packer(parts)
         for batch in batches:
-            n, d = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
+            n, half, d = (np.zeros(batch.num_rows, dtype=np.int64) for _ in range(3))
             for r, s in feature_sets(batch, words):
                 n[r] = len(s)
                 if len(s):
-                    d[r] = digest(s)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(n), pa.array(d)], ["doc_id", "n_shingles", "class_id"])
+                    half[r], d[r] = np.searchsorted(s, HALF), digest(s)
+                    if (c := int(d[r])) not in seen:
+                        seen.add(c)
+                        packer.add(c, _lower(s))
+                        if packer.full():
+                            yield _rows(_MEMBERS, **packer.flush())
+                            seen = seen if len(seen) < 2_000_000 else set()
+            yield _rows(_MEMBERS, part=np.arange(len(n), dtype=np.int32) % parts, doc_id=batch.column(batch.schema.get_field_index("doc_id")), n_shingles=n, n_half=half, class_id=d)
+        if packer.ids:
+            yield _rows(_MEMBERS, **packer.flush())
 
     return run
 
 
-def _signed(words: int, parts: int):
-    """Packed signatures by part: of each distinct set of a task once. Words: 40 bits of signature, 24 of the set's number."""
-
-    def flush(sigs, owners, ids):
-        sig, own = np.concatenate(sigs), np.repeat(np.arange(len(ids), dtype=np.uint64), owners)
-        part = (sig >> np.uint64(40)).astype(np.int64) % parts
-        order = np.argsort(part, kind="stable")
-        packed = ((sig << np.uint64(24)) | own)[order]
-        bounds = np.searchsorted(part[order], np.arange(parts + 1))
-        used = np.flatnonzero(np.diff(bounds))
-        blobs, names = [], []
-        for p in used:
-            x = packed[bounds[p] : bounds[p + 1]]
-            o, back = np.unique(x & np.uint64(0xFFFFFF), return_inverse=True)
-            blobs.append(np.sort(x & ~np.uint64(0xFFFFFF) | back.astype(np.uint64)).tobytes())
-            names.append(np.array(ids, dtype=np.int64)[o.astype(np.int64)].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(names, pa.binary())], ["part", "packed", "ids"])
+def _signed(words: int, parts: int, admit):
+    """Of the distinct sets of a task that the bit table admits: class, sketch and features; and their packed signatures."""
 
     def run(batches):
-        seen, sigs, owners, ids, size = set(), [], [], [], 0
+        seen, packer, admitted = set(), _Packer(parts), _admitted(admit)
         for batch in batches:
+            sets = []
             for _, s in feature_sets(batch, words):
-                if not len(s) or (d := digest(s)) in seen:
+                if not len(s) or (d := digest(s)) in seen or not admitted(d):
                     continue
                 seen.add(d)
-                x = signatures(s)
-                sigs.append(x)
-                owners.append(len(x))
-                ids.append(d)
-                size += len(x)
-                if size > 4_000_000 or len(ids) > 60_000:
-                    yield flush(sigs, owners, ids)
-                    sigs, owners, ids, size = [], [], [], 0
-        if ids:
-            yield flush(sigs, owners, ids)
+                sets.append(((d & _MASK) % parts, d, sketch(s), s.tobytes()))
+                packer.add(d, signatures(s))
+                if packer.full():
+                    yield _rows(_SIGNED, **packer.flush())
+                    seen = seen if len(seen) < 2_000_000 else set()
+            for i in range(0, len(sets), 1000):
+                yield _rows(_SIGNED, **dict(zip(("part", "class_id", "sketch", "features"), zip(*sets[i : i + 1000], strict=True), strict=True)))
+        if packer.ids:
+            yield _rows(_SIGNED, **packer.flush())
 
     return run
 
 
-def _holders(key, table_):
-    """Of one part: the distinct sets of holders that share a signature, each once."""
+def _lower(s: np.ndarray) -> np.ndarray:
+    return mix(s[: np.searchsorted(s, HALF)])
+
+
+def _sorted_holders(t) -> tuple[np.ndarray, np.ndarray]:
+    """Of one part: holders by hash, each once, and where each hash begins."""
     sig, own = [], []
-    for packed, ids in zip(table_.column("packed"), table_.column("ids"), strict=True):
-        x = np.frombuffer(packed.as_buffer(), dtype=np.uint64)
+    for packed, ids in zip(t.column("packed"), t.column("ids"), strict=True):
+        planes = np.frombuffer(packed.as_buffer(), dtype=np.uint8).reshape(6, -1)
         names = np.frombuffer(ids.as_buffer(), dtype=np.int64)
-        sig.append(x >> np.uint64(24))
-        own.append(names[(x & np.uint64(0xFFFFFF)).astype(np.int64)])
+        sig.append(np.cumsum(np.ascontiguousarray(planes[:4].T).view("<u4").ravel().astype(np.int64)))
+        own.append(names[np.ascontiguousarray(planes[4:].T).view("<u2").ravel()])
     sig, own = np.concatenate(sig), np.concatenate(own)
-    order = np.argsort(sig, kind="stable")
+    order = np.lexsort((own, sig))
     sig, own = sig[order], own[order]
-    cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
-    runs = np.flatnonzero(np.diff(cut) > 1)
-    found: set[bytes] = set()
-    for r in runs:
-        o = np.unique(own[cut[r] : cut[r + 1]])
-        if len(o) > 1:
-            found.add(o.tobytes())
-    return pa.table({"holders": pa.array([np.frombuffer(x, dtype=np.int64) for x in sorted(found)], pa.list_(pa.int64()))})
+    keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])])
+    sig, own = sig[keep], own[keep]
+    return own, np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
+
+
+def _split(t) -> tuple[pa.Table, pa.Table]:
+    """Packed rows, and the others."""
+    packed = t.column("packed").is_valid()
+    return t.filter(packed), t.filter(pa.compute.invert(packed))
+
+
+_COUNTED = "part int, ids binary, times binary, doc_id long, n_shingles long, n_half long, class_id long"
+
+
+def _shared(parts: int):
+    def run(key, t):
+        """Of one part: for each class, how many of its features another class has too, packed by the class's part; and the members that came along."""
+        packed, rest = _split(t)
+        out = [pa.Table.from_batches([_rows(_COUNTED, **{c: rest.column(c).combine_chunks() for c in ("doc_id", "n_shingles", "n_half", "class_id")})])] if rest.num_rows else []
+        if packed.num_rows:
+            own, cut = _sorted_holders(packed)
+            n = np.diff(cut)
+            ids, times = np.unique(own[np.repeat(n > 1, n)], return_counts=True)
+            part = (ids.astype(np.uint64) >> np.uint64(40)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            ids, times, part = ids[order], times[order].astype("<u4"), part[order]
+            cuts = np.searchsorted(part, np.arange(parts + 1))
+            used = np.flatnonzero(np.diff(cuts))
+            blobs = [(ids[cuts[p] : cuts[p + 1]].tobytes(), times[cuts[p] : cuts[p + 1]].view(np.uint8).reshape(-1, 4).T.tobytes()) for p in used]
+            if blobs:
+                out.append(pa.Table.from_batches([_rows(_COUNTED, part=used.astype(np.int32), ids=[x for x, _ in blobs], times=[y for _, y in blobs])]))
+        return pa.concat_tables(out) if out else pa.Table.from_batches([_rows(_COUNTED, part=np.zeros(0, dtype=np.int32))])
+
+    return run
+
+
+def _added(key, t):
+    """Of one part: classes with their counts from all parts."""
+    ids = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t.column("ids")])
+    times = np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in t.column("times")])
+    uniq, back = np.unique(ids, return_inverse=True)
+    return pa.table({"class_id": pa.array(uniq), "n": pa.array(np.bincount(back, times, len(uniq)).astype(np.int64))})
+
+
+_MERGED = "part int, owners binary, sizes binary, class_id long, sketch binary, features binary"
+
+
+def _merged(key, t):
+    """Of one part: the holders of each signature that more than one class has, in one row; and each set that came along once."""
+    packed, rest = _split(t)
+    out = []
+    if packed.num_rows:
+        own, cut = _sorted_holders(packed)
+        n = np.diff(cut)
+        owners = own[np.repeat(n > 1, n)]
+        out.append(pa.Table.from_batches([_rows(_MERGED, part=np.array([t.column("part")[0].as_py()], dtype=np.int32), owners=[owners.tobytes()], sizes=[n[n > 1].astype(np.int32).tobytes()])]))
+    if rest.num_rows:
+        _, first = np.unique(np.asarray(rest.column("class_id").combine_chunks()), return_index=True)
+        rest = rest.take(pa.array(first)).combine_chunks()
+        out.append(pa.Table.from_batches([_rows(_MERGED, **{c: rest.column(c).combine_chunks() for c in ("class_id", "sketch", "features")})]))
+    return pa.concat_tables(out)
+
+
+def _runs(owners, sizes) -> tuple[np.ndarray, np.ndarray]:
+    n = np.frombuffer(sizes.as_buffer(), np.int32)
+    return np.frombuffer(owners.as_buffer(), np.int64), np.concatenate([[0], np.cumsum(n)])
 
 
 def _proposed(batches):
-    """Pairs (a < b) of holders: all of a few; of many, those with some centres."""
+    """Pairs of the first holder of a signature with each other one, and how often, by part."""
     for batch in batches:
-        col = batch.column(0)
-        a, b = [], []
-        for x in col:
-            o = np.asarray(x.values)
-            if len(o) <= SMALL:
-                i, j = np.triu_indices(len(o), 1)
-            else:
-                c = np.linspace(0, len(o) - 1, CENTRES).astype(int)
-                i, j = np.repeat(c, len(o)), np.tile(np.arange(len(o)), CENTRES)
-                keep = i != j
-                i, j = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
-            a.append(o[i])
-            b.append(o[j])
-        if a:
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-
-def _across(batches):
-    """Of holders with their components: all pairs whose components differ."""
+        names = batch.schema.names
+        for owners, sizes in zip(batch.column(names.index("owners")), batch.column(names.index("sizes")), strict=True):
+            own, cut = _runs(owners, sizes)
+            first, keep = np.repeat(own[cut[:-1]], np.diff(cut)), np.ones(len(own), dtype=bool)
+            keep[cut[:-1]] = False
+            if keep.any():
+                pairs, times = np.unique(np.stack([first[keep], own[keep]], 1), axis=0, return_counts=True)
+                yield _rows("a long, b long, n long", a=pairs[:, 0], b=pairs[:, 1], n=times.astype(np.int64))
+
+
+def _placed(batches):
+    """part, node: the classes that each part has signatures of."""
+    for batch in batches:
+        names = batch.schema.names
+        for part, owners in zip(batch.column(names.index("part")), batch.column(names.index("owners")), strict=True):
+            x = np.unique(np.frombuffer(owners.as_buffer(), np.int64))
+            yield _rows("part int, node long", part=np.full(len(x), part.as_py(), dtype=np.int32), node=x)
+
+
+def _across(key, t, c):
+    """Of one part: pairs of hubs of two holders of a signature that stand in different components, each once."""
+    empty = np.zeros(0, dtype=np.int64)
+    node, comp, hub = (np.asarray(c.column(x).combine_chunks()) if c.num_rows else empty for x in ("node", "component", "hub"))
+    order = np.argsort(node)
+    node, comp, hub = node[order], comp[order], hub[order]
+    found, seen = [], set()
+    for owners, sizes in zip(t.column("owners"), t.column("sizes"), strict=True):
+        own, cut = _runs(owners, sizes)
+        cs, hs = own, own
+        if len(node):
+            at = np.minimum(np.searchsorted(node, own), len(node) - 1)
+            cs, hs = np.where(node[at] == own, comp[at], own), np.where(node[at] == own, hub[at], own)
+        for r in range(len(cut) - 1):
+            k = cs[cut[r] : cut[r + 1]]
+            if (k == k[0]).all():
+                continue
+            h, i = np.unique(hs[cut[r] : cut[r + 1]], return_index=True)
+            if (mark := h.tobytes()) in seen:
+                continue
+            seen.add(mark)
+            x, y = np.triu_indices(len(h), 1)
+            apart = k[i][x] != k[i][y]
+            found.append(np.stack([h[x[apart]], h[y[apart]]], 1))
+        if sum(map(len, found)) > 4_000_000:
+            found = [np.unique(np.concatenate(found), axis=0)]
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
+def wide_sketch(s: np.ndarray) -> bytes:
+    """Size of a set, then how many of its features (3 at most) fall into each of 4 equal ranges of the domain a feature or more, two bits each."""
+    bits = max(4, (2 * len(s)).bit_length())
+    n = np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 3).astype(np.uint8).reshape(-1, 4)
+    return len(s).to_bytes(8, "little") + (n[:, 0] | n[:, 1] << 2 | n[:, 2] << 4 | n[:, 3] << 6).tobytes()
+
+
+def _unpacked(x: bytes) -> tuple[int, np.ndarray]:
+    p = np.frombuffer(x, np.uint8, offset=8)
+    return int.from_bytes(x[:8], "little"), (p[:, None] >> np.array([0, 2, 4, 6], dtype=np.uint8) & 3).ravel()
+
+
+def hubs_apart(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray], reach: int, most: int) -> bool:
+    """Whether no set with hub x can link with one that has hub y.
+
+    Differing features are a metric: sets u, v that link with x, y differ in at least |x - y| - (|u| + |x|) / 7 - (|v| + |y|) / 7, and link
+    only at (|u| + |v|) / 7 or less. reach: the largest |u| + |x| (0 if x is alone) and |v| + |y|, added; most: the largest |u| and |v|, added.
+    """
+    (m, p), (n, q) = x, y
+    if len(p) != len(q):
+        k = min(len(p), len(q))
+        p, q = (c if len(c) == k else c.reshape(k, -1).sum(1) for c in (p.astype(np.int64), q.astype(np.int64)))
+        summed, plain = (p, q) if len(x[1]) > k else (q, p)
+        # A count of 3 stands for 3 or more; a sum under 3 has none in it.
+        differ = int(np.where(((summed > plain) & (plain < 3)) | ((summed < plain) & (summed < 3)), np.abs(summed - plain), 0).sum())
+    else:
+        differ = int(np.abs(p.astype(np.int64) - q).sum())
+    return (DEN + NUM) * differ > (DEN - NUM) * (reach + most)
+
+
+def _kept_hubs(key, t, s):
+    """Of one block: the pairs of hubs that aren't apart by their sketches."""
+    cols = (s.column(c).to_pylist() for c in ("class_id", "wide", "reach", "most"))
+    known = {k: (_unpacked(v), r, m) for k, v, r, m in zip(*cols, strict=True)}
+
+    def apart(a: int, b: int) -> bool:
+        (x, r, m), (y, q, n) = known[a], known[b]
+        return hubs_apart(x, y, r + q, m + n)
+
+    keep = pa.array([not apart(x, y) for x, y in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True)], pa.bool_())
+    return t.select(["a", "b"]).filter(keep)
+
+
+def _widened(batches):
     for batch in batches:
         names = batch.schema.names
-        for x, y in zip(batch.column(names.index("holders")), batch.column(names.index("comps")), strict=True):
-            o, c = np.asarray(x.values), np.asarray(y.values)
-            for i in range(len(o) - 1):
-                j = i + 1 + np.flatnonzero(c[i + 1 :] != c[i])
-                if len(j):
-                    a, b = np.minimum(o[i], o[j]), np.maximum(o[i], o[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-
-def _table_of(rows: DataFrame, *cols: str) -> np.ndarray:
-    """A bit table of fixed size: whether a class with this hash stands in the columns."""
-    bits = 1 << FILTER_BITS
-    slot = F.shiftrightunsigned(F.col("c"), 64 - FILTER_BITS)
-    used = rows.select(F.explode(F.array(*cols)).alias("c")).select(slot.alias("s")).distinct().toArrow()
-    flags = np.zeros(bits, dtype=bool)
+        sets = batch.column(names.index("features"))
+        yield pa.RecordBatch.from_arrays([batch.column(names.index("class_id")), pa.array([wide_sketch(np.frombuffer(x.as_buffer(), np.uint64)) for x in sets], pa.binary())], ["class_id", "wide"])
+
+
+def _hubs(links: DataFrame, comp: DataFrame) -> DataFrame:
+    """node, component, hub: a node's hub is itself, or the neighbour with most links if that has more, so everything links with its hub."""
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    degree = both.groupBy("a").agg(F.count("*").alias("d"))
+    around = both.join(degree.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.max(F.struct("d", "b")).alias("top"))
+    hubs = degree.join(around, "a").select(F.col("a").alias("node"), F.when(F.struct("d", "a") < F.col("top"), F.col("top.b")).otherwise(F.col("a")).alias("hub"))
+    return staged(comp.join(hubs, "node"), "hubs")
+
+
+def _near_hubs(signed: DataFrame, sets: DataFrame, assigned: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of hubs in different components whose members signatures propose and the hubs' distance doesn't rule out."""
+    known = signed.mapInArrow(_placed, "part int, node long").join(assigned, "node")
+    far = staged(signed.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_across, "a long, b long").distinct(), "hub-pairs")
+    # Blocks of pairs: hubs are dealt to groups; each sketch goes to the blocks of its group, each pair to one.
+    used = far.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
+    wide = sets.select("class_id", "features").join(used, "class_id", "left_semi").mapInArrow(_widened, "class_id long, wide binary")
+    of = lambda c, to: sizes.select(F.col("class_id").alias(c), F.col("size").alias(to))
+    spread = assigned.where("node <> hub").join(of("node", "s"), "node").join(of("hub", "h"), "hub").groupBy(F.col("hub").alias("class_id")).agg(F.max(F.col("s") + F.col("h")).alias("reach"), F.max("s").alias("largest"))
+    wide = wide.join(sizes.select("class_id", "size"), "class_id").join(spread, "class_id", "left")
+    wide = staged(wide.select("class_id", "wide", F.coalesce("reach", F.lit(0)).alias("reach"), F.greatest("size", F.coalesce("largest", F.lit(0))).alias("most")), "wide")
+    total = wide.agg(F.sum(F.length("wide"))).first()[0] or 0
+    (x, g), (y, _), (own, _) = (_blocks(F.col(c), total, 6) for c in ("a", "b", "class_id"))
+    pairs = far.withColumn("block", F.least(x, y) * g + F.greatest(x, y))
+    dealt = wide.withColumn("own", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(g - 1)))).select("class_id", "wide", "reach", "most", (F.least("own", "j") * g + F.greatest("own", "j")).alias("block"))
+    return staged(pairs.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_kept_hubs, "a long, b long"), "near-hubs")
+
+
+def _linked_members(key, t, s):
+    """Of one block: links between what has one hub of a pair and what has the other. A pair of sets whose components are connected already is passed over."""
+    node, comp = s.column("node").to_pylist(), s.column("component").to_pylist()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in s.column("features")]
+    brief = [sketch(x) for x in sets]
+    under: dict[int, list[int]] = {}
+    for i, h in enumerate(s.column("hub").to_pylist()):
+        under.setdefault(h, []).append(i)
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    found = []
+    for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True):
+        for i in under.get(a, ()):
+            for j in under.get(b, ()):
+                x, y = find(comp[i]), find(comp[j])
+                if x != y and _may_link(brief[i], brief[j]) and _link(sets[i], sets[j]):
+                    root[max(x, y)] = min(x, y)
+                    found.append((node[i], node[j]))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64()), "n": pa.array([1] * len(found), pa.int64())})
+
+
+def _blocks(hub, total: int, least: int):
+    """The group of a hub, and how many there are: a block is a pair of groups, of some 16 MB together."""
+    g = max(least, -(-total // (8 << 20)))
+    return F.pmod(F.xxhash64(hub, F.lit(9)), F.lit(g)), g
+
+
+def _member_links(near: DataFrame, sets: DataFrame, assigned: DataFrame, comp: DataFrame) -> DataFrame:
+    """Links (a, b, n) between members of near hubs (a, b)."""
+    ends = near.select(F.explode(F.array("a", "b")).alias("hub")).distinct()
+    every = assigned.select("hub", "node").join(ends, "hub", "left_semi").union(ends.select("hub", F.col("hub").alias("node"))).distinct()
+    now = comp.select(F.col("node"), "component")
+    nodes = every.join(now, "node", "left").join(sets.select(F.col("class_id").alias("node"), "features"), "node")
+    nodes = staged(nodes.select("hub", "node", F.coalesce("component", "node").alias("component"), "features"), "members")
+    total = nodes.agg(F.sum(F.length("features"))).first()[0] or 0
+    (x, g), (y, _), (own, _) = (_blocks(F.col(c), total, 6) for c in ("a", "b", "hub"))
+    pairs = near.select("a", "b", (F.least(x, y) * g + F.greatest(x, y)).alias("block"))
+    dealt = nodes.withColumn("own", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(g - 1)))).select("hub", "node", "component", "features", (F.least("own", "j") * g + F.greatest("own", "j")).alias("block"))
+    return pairs.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_linked_members, "a long, b long, n long")
+
+
+def _table_of(rows: DataFrame, *cols: str):
+    """A bit table of bounded size, broadcast: whether a class whose digest starts so stands in the columns."""
+    classes = rows.select(F.explode(F.array(*cols)).alias("c"))
+    bits = min(FILTER_BITS, max(16, int(classes.agg(F.approx_count_distinct("c")).first()[0]).bit_length() + 6))
+    used = classes.select(F.shiftrightunsigned("c", 64 - bits).alias("s")).distinct().toArrow()
+    flags = np.zeros(1 << bits, dtype=bool)
     flags[np.asarray(used.column("s")).astype(np.int64)] = True
-    return np.packbits(flags)
+    return rows.sparkSession.sparkContext.broadcast((bits, np.packbits(flags)))
+
+
+def _admitted(admit):
+    if admit is None:
+        return lambda d: True
+    bits, packed = admit.value
+    return lambda d: bool(packed[(s := (d & (1 << 64) - 1) >> 64 - bits) >> 3] >> (7 - (s & 7)) & 1)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Size of a set, then how many of its features fall into each of 16 or more equal ranges of the domain (255 at most)."""
+    bits = max(4, (len(s) // 4).bit_length())
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return len(s).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def _sets(words: int, bits):
-    """(class_id, feature set) of the classes that the bit table admits, each once a task."""
+def _may_link(x: bytes, y: bytes) -> bool:
+    """Sets link if at most a seventh of the sum of their sizes differs; the difference of counts is a lower bound."""
+    total = int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little")
+    p, q = np.frombuffer(x, np.uint8, offset=8).astype(np.int64), np.frombuffer(y, np.uint8, offset=8).astype(np.int64)
+    if len(p) != len(q):  # a clipped count can't be summed
+        if max(p.max(), q.max()) == 255:
+            return True
+        n = min(len(p), len(q))
+        p, q = p.reshape(n, -1).sum(1), q.reshape(n, -1).sum(1)
+    return (DEN + NUM) * int(np.abs(p - q).sum()) <= (DEN - NUM) * total
+
+
+def _kept(test):
+    """Pairs whose x and y pass the test."""
 
     def run(batches):
-        flags, seen = np.unpackbits(bits.value), set()
         for batch in batches:
-            ids, sets = [], []
-            for _, s in feature_sets(batch, words):
-                if len(s) and (d := digest(s)) not in seen and flags[(d & (1 << 64) - 1) >> 64 - FILTER_BITS]:
-                    seen.add(d)
-                    ids.append(d)
-                    sets.append(s.tobytes())
-                    if len(ids) >= 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["class_id", "features"])
-                        ids, sets = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["class_id", "features"])
+            names = batch.schema.names
+            x, y = batch.column(names.index("x")), batch.column(names.index("y"))
+            keep = pa.array([test(x[i].as_buffer().to_pybytes(), y[i].as_buffer().to_pybytes()) for i in range(batch.num_rows)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(names.index(c)).filter(keep) for c in ("a", "b", "n")], ["a", "b", "n"])
 
     return run
 
 
-def _verified(batches):
-    """Pairs that link, by their whole sets."""
-    for batch in batches:
-        names = batch.schema.names
-        fa, fb = batch.column(names.index("fa")), batch.column(names.index("fb"))
-        ok = np.zeros(batch.num_rows, dtype=bool)
-        for i in range(batch.num_rows):
-            x, y = (np.frombuffer(c[i].as_buffer(), dtype=np.uint64) for c in (fa, fb))
-            if DEN * min(len(x), len(y)) >= NUM * max(len(x), len(y)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[i] = DEN * both >= NUM * (len(x) + len(y) - both)
-        keep = pa.array(ok)
-        yield pa.RecordBatch.from_arrays([batch.column(names.index("a")).filter(keep), batch.column(names.index("b")).filter(keep)], ["a", "b"])
+def _link(x: bytes, y: bytes) -> bool:
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return DEN * both >= NUM * (len(p) + len(q) - both)
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    x = sets.select(F.col("class_id").alias("a"), F.col("features").alias("fa"))
-    y = sets.select(F.col("class_id").alias("b"), F.col("features").alias("fb"))
-    return pairs.join(x, "a").join(y, "b").mapInArrow(_verified, "a long, b long")
+def _passed(pairs: DataFrame, sets: DataFrame, col: str, test) -> DataFrame:
+    """The pairs (a, b, n) whose sets, or their sketches, pass the test."""
+    x, y = (sets.select(F.col("class_id").alias(k), F.col(col).alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").mapInArrow(_kept(test), "a long, b long, n long")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, class_id (null: no words; equal sets share it), component_id of every row of docs(doc_id, text)."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     parts = max(64, 2 * docs.rdd.getNumPartitions())
-    members = staged(docs.mapInArrow(_members(words), "doc_id long, n_shingles long, class_id long"), "members")
-    packed = docs.mapInArrow(_signed(words, parts), "part int, packed binary, ids binary")
-    shared = staged(packed.groupBy("part").applyInArrow(_holders, "holders array<long>").distinct(), "holders")
-    pairs = staged(shared.mapInArrow(_proposed, "a long, b long").distinct(), "pairs")
-    bits = spark.sparkContext.broadcast(_table_of(pairs, "a", "b"))
-    found = docs.mapInArrow(_sets(words, bits), "class_id long, features binary")
-    sets = staged(found.groupBy("class_id").agg(F.first("features").alias("features")), "sets")
-    # One partner for each set, then what isn't connected yet.
-    once = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = staged(_links(once, sets), "links")
+    first = docs.mapInArrow(_members(words, parts), _MEMBERS).groupBy("part").applyInArrow(_shared(parts), _COUNTED)
+    first = staged(first, "members")
+    members = first.where("part is null").select("doc_id", "n_shingles", "n_half", "class_id")
+    common = first.where("part is not null").select("part", "ids", "times").groupBy("part").applyInArrow(_added, "class_id long, n long")
+    sizes = members.where("n_shingles > 0").groupBy("class_id").agg(F.first("n_shingles").alias("size"), F.first("n_half").alias("half"))
+    # A class without a count may still have a partner where nothing must be shared.
+    onward = staged(sizes.join(common, "class_id", "left").where(F.coalesce("n", F.lit(0)) >= F.col("half") - F.floor(F.col("size") * (DEN - NUM) / DEN)).select("class_id"), "onward")
+    merged = docs.mapInArrow(_signed(words, parts, _table_of(onward, "class_id")), _SIGNED).groupBy("part").applyInArrow(_merged, _MERGED)
+    merged = staged(merged, "signed")
+    signed = merged.where("part is not null").select("part", "owners", "sizes")
+    sets = merged.where("class_id is not null").select("class_id", "sketch", "features")
+    proposed = signed.mapInArrow(_proposed, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # Of the first holder of each signature with the others, the likeliest pair of each set.
+    once = proposed.groupBy("b").agg(F.max(F.struct("n", "a")).alias("top")).select(F.col("top.a").alias("a"), "b", F.col("top.n").alias("n"))
+    links = staged(_passed(once, sets, "features", _link), "links")
+    comp = components(links, "a", "b")
+    # Between components: first hubs themselves, then what has hubs that are near each other and still apart.
+    assigned = _hubs(links, comp)
+    near = _near_hubs(signed, sets, assigned, sizes).withColumn("n", F.lit(1).cast("long"))
+    links = staged(links.unionByName(_passed(_passed(near, sets, "sketch", _may_link), sets, "features", _link)), "links")
     comp = components(links, "a", "b")
-    rest = _apart(pairs, comp).join(once, ["a", "b"], "left_anti")
-    links = staged(links.unionByName(_links(rest, sets)), "links")
+    links = staged(links.unionByName(_member_links(_apart(near, comp), sets, assigned, comp)), "links")
     comp = components(links, "a", "b")
-    large = shared.where(F.size("holders") > SMALL)
-    if not large.isEmpty():
-        one = large.withColumn("g", F.monotonically_increasing_id())
-        one = staged(one, "large")
-        each = one.select("g", F.posexplode("holders").alias("i", "node")).join(comp, "node", "left").select("g", "i", F.coalesce("component", "node").alias("c"))
-        mixed = each.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
-        comps = each.join(mixed, "g", "left_semi").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("i", "c"))).alias("x")).select("g", F.col("x.c").alias("comps"))
-        more = one.join(comps, "g").select("holders", "comps").mapInArrow(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-        links = staged(links.unionByName(_links(more, sets)), "links")
-        comp = components(links, "a", "b")
     classes = members.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("first_id"))
     named = classes.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -298,7 +571,7 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """The pairs whose ends no chain of links connects."""
     a = comp.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     b = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "n")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
