@@ -115,9 +115,9 @@ def _dealt(p: Plan):
     return run
 
 
-def placed(rows: DataFrame, shards: int) -> DataFrame:
-    """Rows with KEY and SIZE, which come as size, with shard and slot."""
-    p = plan(rows.select(KEY, SIZE), shards)
+def placed(rows: DataFrame, slim: DataFrame, shards: int) -> DataFrame:
+    """Rows with KEY and SIZE, which come as size, with shard and slot; slim: a table of their KEY and SIZE, which is probed."""
+    p = plan(slim.select(KEY, SIZE), shards)
     if not len(p.low):
         return rows.withColumnRenamed(SIZE, "size").drop(KEY).withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
@@ -128,7 +128,8 @@ def placed(rows: DataFrame, shards: int) -> DataFrame:
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs with size, shard and slot."""
-    return placed(keyed(docs.drop("shard", "slot", "size")), shards)
+    rows = keyed(docs.drop("shard", "slot", "size"))
+    return placed(rows, staged(rows.select(KEY, SIZE), "keys"), shards)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,5 +137,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     # What is exchanged here needs no text: its key, size and crc stand for it.
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     rows = staged(keyed(docs.withColumn("text_crc32", crc)).drop("text"), "keys")
-    out = placed(rows, SHARDS)
+    out = placed(rows, rows, SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
