@@ -40,12 +40,10 @@ def range_holds(written: Column, value: Column) -> Column:
 
 def match_class(written: Column, asked: Column, digits: Column) -> Column:
     """How a written number answers one asked for: AS_ASKED, IN_RANGE, PLAIN (its digits only), or null."""
-    plain = asked.rlike("^[0-9]{1,6}$")
-    return (
-        F.when(normal(written) == asked, AS_ASKED)
-        .when(plain & range_holds(written, F.when(plain, asked).try_cast("int")), IN_RANGE)
-        .when(F.coalesce(digits > 0, F.lit(False)) & (normal(written) == F.substring(asked, F.lit(1), digits)), PLAIN)
-    )
+    plain, own = asked.rlike("^[0-9]{1,6}$"), normal(written)
+    # Only a number with a dash is put to the patterns of ranges.
+    ranged = F.contains(own, F.lit("-")) & plain & range_holds(written, F.when(plain, asked).try_cast("int"))
+    return F.when(own == asked, AS_ASKED).when(ranged, IN_RANGE).when(F.coalesce(digits > 0, F.lit(False)) & (own == F.substring(asked, F.lit(1), digits)), PLAIN)
 
 
 class Asked(NamedTuple):

@@ -52,13 +52,17 @@ def _separators() -> dict[str, str]:
 
 def folded(col: Column, german: bool = True) -> Column:
     """The text with each word folded; separators come as a blank, `-`, `/` or one other mark."""
+    apart = _separators()
     umlauts = fold.GERMAN if german else fold.PLAIN
-    col = F.regexp_replace(col, "([aouAOU])̈", F.concat(F.lit("$1"), F.lit("e" if german else "")))
-    col = F.regexp_replace(col, "[̀-ͯ]", "")
-    col = _translate(col, {k.upper(): k for k in umlauts})
+    out = F.regexp_replace(col, "([aouAOU])\u0308", F.concat(F.lit("$1"), F.lit("e" if german else "")))
+    out = F.regexp_replace(out, "[\u0300-\u036f]", "")
+    out = _translate(out, {k.upper(): k for k in umlauts})
     for k, v in umlauts.items():
-        col = F.replace(col, F.lit(k), F.lit(v))
-    return _translate(col, fold.letters() | _separators())
+        out = F.replace(out, F.lit(k), F.lit(v))
+    out = _translate(out, fold.letters() | apart)
+    # Most texts are ASCII, which needs one pass.
+    plain = _translate(F.lower(col), {k: v for k, v in apart.items() if ord(k) < 0x80})
+    return F.when(F.length(col) == F.octet_length(col), plain).otherwise(out)
 
 
 def special(col: Column) -> Column:
@@ -85,28 +89,39 @@ def pieces(word: Column) -> Column:
     return out
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed once: as the variable of a lambda, which is not computed anew where it stands."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _reading(col: Column, german: bool) -> Column:
-    text = F.concat(folded(col, german))
     mark = f" /{_OTHER}-"
-    written = F.regexp_extract_all(text, F.lit(f"[{mark}]*[^{mark}]+"), F.lit(0))
+    written = F.regexp_extract_all(folded(col, german), F.lit(f"[{mark}]*[^{mark}]+"), F.lit(0))
 
-    def token(x: Column, i: Column) -> Column:
+    def cut(x: Column, i: Column) -> Column:
         gap = F.replace(F.regexp_extract(x, f"^[{mark}]*", 0), F.lit(" "), F.lit(""))
-        joint = F.when((i == 0) & (gap == ""), "").when(gap == "", "").when(gap.isin("-", "/"), gap).otherwise(".")
-        word = grown(F.regexp_extract(x, f"[^{mark}]+$", 0))
-        whole = F.struct(word.alias("word"), i.cast("int").alias("grp"), F.lit(False).alias("part"), joint.alias("joint"))
-        more = F.transform(pieces(word), lambda p: F.struct(p.alias("word"), i.cast("int").alias("grp"), F.lit(True).alias("part"), joint.alias("joint")))
-        return F.concat(F.array(whole), more)
+        return F.struct(i.cast("int").alias("i"), gap.alias("gap"), F.regexp_extract(x, f"[^{mark}]+$", 0).alias("word"))
+
+    def named(x: Column) -> Column:
+        joint = F.when(x["gap"].isin("", "-", "/"), x["gap"]).otherwise(".")
+        return F.struct(x["i"].alias("i"), joint.alias("joint"), grown(x["word"]).alias("word"))
 
-    return F.flatten(F.transform(written, token))
+    def token(x: Column) -> Column:
+        one = lambda w, part: F.struct(w.alias("word"), x["i"].alias("grp"), F.lit(part).alias("part"), x["joint"].alias("joint"))
+        return F.concat(F.array(one(x["word"], False)), F.transform(pieces(x["word"]), lambda w: one(w, True)))
+
+    return F.flatten(F.transform(F.transform(F.transform(written, cut), named), token))
 
 
 def words(col: Column) -> Column:
     """WORDS_TYPE: tokens of the German reading, then of the plain one where they differ; a word counts once, MOST_TOKENS at most."""
     col = F.coalesce(col, F.lit(""))
-    both = F.when(special(col), F.concat(_reading(col, True), _reading(col, False))).otherwise(_reading(col, True))
-    first = F.filter(both, lambda x, i: F.array_position(F.transform(both, lambda y: y["word"]), x["word"]) == i + 1)
-    return F.slice(first, 1, MOST_TOKENS)
+    both = F.concat(_reading(col, True), F.when(special(col), _reading(col, False)).otherwise(F.array().cast(WORDS_TYPE)))
+
+    def first(tokens: Column) -> Column:
+        return _once(F.transform(tokens, lambda y: y["word"]), lambda ws: F.filter(tokens, lambda x, i: F.array_position(ws, x["word"]) == i + 1))
+
+    return F.slice(_once(both, first), 1, MOST_TOKENS)
 
 
 def distinct_words(col: Column) -> Column:
