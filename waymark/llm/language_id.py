@@ -1,7 +1,7 @@
 """Language ID: nearest of several centroids a language, over TF-IDF vectors of hashed byte 3-grams, by cosine.
 
 Document frequencies cover every labelled training row. Centroids come from a bounded sample of them: the SAMPLE rows
-(parameter; over all languages together) with the least hash of doc_id, equally many a language; spherical k-means of
+(parameter; over all languages together, PER_LANGUAGE at most of one) with the least hash of doc_id, equally many a language; spherical k-means of
 the sample runs on the driver. A vector has DIM entries whatever the corpus, so frequencies (DIM counts), the
 sample and the centroids have a fixed size.
 
@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from waymark.llm.common import Texts, groups, table
 
 DIM = 4096
-SAMPLE = 2000
+SAMPLE, PER_LANGUAGE = 2000, 1000
 CENTROIDS = 3
 ROUNDS = 12
-FLOOR_SHARE = 0.5
+FLOOR_SHARE = 0.25
+SHARE = 0.1  # of its language's sample that a centroid must stand for
 FULL = 200  # 3-grams from which the floor holds in full
 
 
@@ -36,7 +37,7 @@ def _slots(padded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counts(texts: Texts) -> np.ndarray:
-    """3-grams of bytes of each row by slot; control bytes and digits are as blanks, and each text stands between two blanks."""
+    """3-grams of bytes of each row by slot; ASCII that isn't a letter is as blank, and each text stands between two blanks."""
     n, size = texts.n, len(texts.low)
     if n == 1:  # one text of any length, in pieces
         out = np.zeros(DIM, dtype=np.int64)
@@ -58,8 +59,8 @@ def counts(texts: Texts) -> np.ndarray:
 
 PIECE = 1 << 20
 _PLAIN = np.arange(256, dtype=np.uint8)
-_PLAIN[:0x20] = 0x20
-_PLAIN[0x30:0x3A] = 0x20
+_PLAIN[:0x80] = 0x20
+_PLAIN[0x61:0x7B] = np.arange(0x61, 0x7B)
 
 
 def vectors(texts: Texts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +123,10 @@ class Model:
     def __init__(self, idf, centroids, langs, floor):
         self.idf, self.centroids, self.langs, self.floor = idf, centroids, langs, floor
 
+    def shared(self, spark: SparkSession):
+        """Its parts, broadcast: plain values, which workers read without this module."""
+        return spark.sparkContext.broadcast((self.idf, self.centroids, self.langs, self.floor))
+
 
 def fit(train: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from train(doc_id, text, lang)."""
@@ -130,21 +135,32 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> Model:
     counts = np.array([df.get(i, 0) for i in range(DIM + 1)], dtype=np.float64)
     idf = np.log((1 + counts[-1]) / (1 + counts[:-1])).astype(np.float32) + np.float32(0.05)
     ids = train.select("doc_id", F.col("lang").alias("l"), F.xxhash64("doc_id", F.lit(11)).alias("k"))
-    ids = ids.withColumn("rn", F.row_number().over(Window.partitionBy("l").orderBy("k", "doc_id"))).where(F.col("rn") <= sample)
+    ids = ids.withColumn("rn", F.row_number().over(Window.partitionBy("l").orderBy("k", "doc_id"))).where(F.col("rn") <= min(sample, PER_LANGUAGE))
     ids = ids.withColumn("all", F.row_number().over(Window.orderBy("rn", "l"))).where(F.col("all") <= sample).select("doc_id", "l")
     picked = train.join(F.broadcast(ids.distinct()), (train.doc_id == ids.doc_id) & train.lang.eqNullSafe(ids.l)).select("text", "lang")
     got = picked.mapInArrow(_sampled(idf), "lang string, v binary, n long").limit(2 * sample).toPandas()
-    centroids, langs, near = [], [], []
+    centroids, langs, sampled, labels = [], [], [], []
     for lang, rows in sorted(got.groupby("lang"), key=lambda x: x[0]):
         v = np.stack([np.frombuffer(x, dtype=np.float32) for x in rows.v])
         v = v[np.lexsort(v[:, ::-1].T[:8])]
         c = _clustered(v, CENTROIDS)
+        share = np.bincount((v @ c.T).argmax(1), minlength=len(c)) / len(v)
+        c = c[(share >= SHARE) | (share == share.max())]  # a small one may be rows with a wrong label
         centroids.append(c)
         langs += [lang] * len(c)
-        near.append((v @ c.T).max(1))
+        sampled.append(v)
+        labels += [lang] * len(v)
     if not langs:
         return Model(idf, np.zeros((0, DIM), dtype=np.float32), [], 0.0)
-    return Model(idf, np.concatenate(centroids), langs, float(FLOOR_SHARE * np.quantile(np.concatenate(near), 0.01)))
+    c, v, labels = np.concatenate(centroids), np.concatenate(sampled), np.array(labels)
+    cos = v @ c.T
+    own = cos.argmax(1)
+    # Rows with a wrong label may make a centroid of their own: it takes the language of most rows that are nearest to it.
+    for j in range(len(c)):
+        names, n = np.unique(labels[own == j], return_counts=True)
+        if len(n) and n.max() > (n[names == langs[j]].sum()):
+            langs[j] = str(names[n.argmax()])
+    return Model(idf, c, langs, float(FLOOR_SHARE * np.quantile(cos.max(1), 0.01)))
 
 
 def _has_letter(texts: Texts) -> np.ndarray:
@@ -158,7 +174,7 @@ def _has_letter(texts: Texts) -> np.ndarray:
 
 def _predicted(model):
     def run(batches):
-        m = model.value
+        m = Model(*model.value)
         for batch in batches:
             pred, score, reject = [], [], []
             for _, texts in groups(batch):
@@ -184,7 +200,7 @@ def _predicted(model):
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs' doc_id with lang_pred, score (cosine, 0 to 1) and rejected, a row for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_predicted(shared), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
@@ -198,7 +214,7 @@ def held_out():
 
 def _accepted(model, schema):
     def run(batches):
-        m = model.value
+        m = Model(*model.value)
         for batch in batches:
             keep = []
             for _, texts in groups(batch):
@@ -213,7 +229,7 @@ def _accepted(model, schema):
 
 def recognised(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs.sparkSession)
     return docs.mapInArrow(_accepted(shared, docs.schema), docs.schema)
 
 
