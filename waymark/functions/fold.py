@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import cache
 
 # Letters whose Unicode name doesn't spell the base letter.
 NAMED = {
@@ -44,17 +43,21 @@ def _latin(c: str) -> str | None:
     return word.lower() if len(word) == 1 else NAMED.get(word)
 
 
-@cache
+_LETTERS: dict[str, str] = {}
+
+
 def letters() -> dict[str, str]:
     """Code point to plain letters, but for umlauts."""
-    out = {chr(c): chr(c + 32) for c in range(65, 91)} | LIGATURES | OTHERS
-    for low, high in LATIN:
-        for c in map(chr, range(low, high + 1)):
-            if c.lower() not in GERMAN and not parts(c) and (base := _latin(c)):
-                out[c] = base
-    # Greek and Cyrillic capitals are lowered and kept.
-    out |= {chr(c): chr(c + 0x20) for c in (*range(0x391, 0x3AA), *range(0x410, 0x430))}
-    return out | {chr(c): chr(c + 0x50) for c in range(0x400, 0x410)}
+    if not _LETTERS:  # kept in a plain table, as functions that travel to workers can't carry a cache
+        for low, high in LATIN:
+            for c in map(chr, range(low, high + 1)):
+                if c.lower() not in GERMAN and not parts(c) and (base := _latin(c)):
+                    _LETTERS[c] = base
+        _LETTERS.update({chr(c): chr(c + 32) for c in range(65, 91)} | LIGATURES | OTHERS)
+        # Greek and Cyrillic capitals are lowered and kept.
+        _LETTERS.update({chr(c): chr(c + 0x20) for c in (*range(0x391, 0x3AA), *range(0x410, 0x430))})
+        _LETTERS.update({chr(c): chr(c + 0x50) for c in range(0x400, 0x410)})
+    return _LETTERS
 
 
 def parts(c: str) -> bool:
