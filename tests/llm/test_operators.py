@@ -196,6 +196,27 @@ def test_lm_context_tree_by_hand():
         assert math.isclose(want, have, rel_tol=1e-4)
 
 
+def test_lm_keeps_every_counted_node(spark):
+    """A corpus of more than 2**21 nodes is scored by its whole tree."""
+    from waymark.llm.common import Texts
+
+    r = np.random.default_rng(5)
+    texts = [bytes(r.integers(97, 123, 500, dtype=np.uint8)).decode() for _ in range(400)]
+    data = [(i, t, "en", "a") for i, t in enumerate(texts + texts)]  # what occurs twice is told by deep contexts
+    df = documents(spark, data).withColumn("held_out", F.col("doc_id") >= 790)
+    joined = lambda texts: Texts(np.frombuffer("".join(texts).encode(), dtype=np.uint8), np.cumsum([0, *map(len, texts)]))
+    gram, n = np.unique(np.concatenate([g for _, g in lm_score.grams(joined([t for i, t, *_ in data if i < 790]))]), return_counts=True)
+    tree = lm_score.levels(gram, n, 0)
+    assert sum(len(key) for key, *_ in tree) > 1 << 21
+    model = [(key, (n1 + 0.5) / (n0 + n1 + 1), share) for (key, n0, n1), (_, share) in zip(tree, lm_score.weighted(tree), strict=True)]
+    want = np.zeros(len(data))
+    for row, g in lm_score.grams(joined([t for _, t, *_ in data])):
+        u, back = np.unique(g, return_inverse=True)
+        want += np.bincount(row, lm_score.log10_of(model, u)[back], len(data))
+    out = {r.doc_id: r.score for r in lm_score.scored(df).collect()}
+    assert len(out) == len(data) and all(math.isclose(out[i], want[i], rel_tol=1e-5) for i in out)
+
+
 def sample(lang, seed, n=60):
     words = {"en": "the of and that with from this have which", "de": "der die und das nicht mit sich auch werden", "fr": "le la les des est dans pour que avec"}[lang].split()
     r = np.random.default_rng(seed)
