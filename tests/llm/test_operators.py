@@ -289,6 +289,14 @@ def test_url_filter_as_of(spark):
     assert url_filter.filtered(df.limit(0), log).count() == 0 and url_filter.filtered(df, log.limit(0)).where("verdict <> 'pass'").count() == 0
 
 
+def test_url_filter_deep_entries_reach_subdomains(spark):
+    deep = "foo.s3.eu-west-1.amazonaws.com"
+    log = spark.createDataFrame([(deep, "block", "2024-01-01"), ("amazonaws.com", "allow", "2024-01-01"), ("b.c.d.e.f.g.h", "block", "2024-01-01")], "pattern string, action string, listed string").withColumn("listed", F.to_date("listed"))
+    df = spark.createDataFrame([(1, f"http://img.{deep}/x"), (2, f"http://{deep}"), (3, f"http://not{deep}"), (4, "http://x.y.z.a.b.c.d.e.f.g.h"), (5, "http://c.d.e.f.g.h")], "page_id long, url string").withColumn("fetched", F.lit("2024-02-01").cast("date"))
+    out = {r.page_id: (r.verdict, r.pattern) for r in url_filter.filtered(df, log).collect()}
+    assert out == {1: ("block", deep), 2: ("block", deep), 3: ("allow", "amazonaws.com"), 4: ("block", "b.c.d.e.f.g.h"), 5: ("pass", None)}
+
+
 def test_tool_calls(spark):
     call = lambda *cs: json.dumps({"content": "c", "tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in cs]})
     answer = lambda i: json.dumps({"tool_call_id": i, "content": "r"})

@@ -2,7 +2,7 @@
 
 A list is a log of dated entries (pattern, action, listed): on that day the pattern (a host, which stands for its subdomains too) got the
 action `block`, `allow` or `remove`. A window over each pattern turns the log into validity intervals [listed, until).
-Each capture's host is expanded to itself and its parent domains (LEVELS at most), which are equi-joined with the intervals that hold the
+Each capture's host is expanded to itself and all its parent domains (a name in DNS has 127 labels at most), which are equi-joined with the intervals that hold the
 fetch day; of the entries active then, the longest pattern decides. The hot side of that join is the captures; a pattern has
 as many rows as its log, so Spark can split a host with a third of all captures, or broadcast the list where it is small.
 
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import table
 
-LEVELS = 4
 HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)"
 
 
@@ -41,8 +40,8 @@ def filtered(captures: DataFrame, log: DataFrame) -> DataFrame:
     """page_id, host, fetched, verdict (block, allow or pass), pattern and listed of every row of captures(page_id, url, fetched)."""
     rows = captures.select("page_id", host(F.col("url")).alias("host"), "fetched").withColumn("row", F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(0), F.least(F.size(labels) - 1, F.lit(LEVELS - 1))), lambda i: F.array_join(F.slice(labels, F.greatest(F.size(labels) - i, F.lit(1)), F.least(i + 1, F.size(labels))), "."))
-    each = rows.where("host is not null and fetched is not null").select("row", "page_id", "host", "fetched", F.explode(F.array_distinct(F.concat(F.array("host"), parents))).alias("p"))
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    each = rows.where("host is not null and fetched is not null").select("row", "page_id", "host", "fetched", F.explode(parents).alias("p"))
     active = each.join(intervals(log), (F.col("p") == F.col("pattern")) & (F.col("fetched") >= F.col("listed")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
     best = active.groupBy("row").agg(F.max_by(F.struct("action", "pattern", "listed"), F.struct(F.length("pattern"), "pattern")).alias("hit"))
     out = rows.join(best, "row", "left")
