@@ -77,6 +77,21 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({i for i, c in want.items() if i == c})
 
 
+def test_one_of_each_bears_null_and_repeated_ids(spark):
+    """Every component keeps one row, also where its ids are null or an id stands for different texts."""
+    far, null, twin, late = (prose(s, 40) for s in (80, 81, 82, 83))
+    near = lambda t: t.rsplit(" ", 1)[0]
+    data = [
+        (1, far, "en", "a"), (1, near(null), "en", "a"), (None, null, "en", "a"), (None, twin, "en", "a"), (None, near(twin), "en", "a"), (None, twin, "en", "a"), (3, prose(84, 30), "en", "a"), (3, prose(85, 30), "en", "a"), (3, near(far), "en", "a"),
+        (None, late, "en", "a"), (None, None, "en", "a"),
+    ]
+    kept = [(r.doc_id, r.text) for r in m.one_of_each(documents(spark, data)).collect()]
+    twins = [x for x in kept if x[1] in (twin, near(twin))]
+    assert len(twins) == 1
+    assert sorted(map(str, set(kept) - set(twins))) == sorted(map(str, [(1, far), (1, near(null)), (3, data[6][1]), (3, data[7][1]), (None, late), (None, None)]))
+    assert len(kept) == 7
+
+
 @pytest.mark.parametrize("n", [3, 8, 20, 60, 300])
 def test_similar_sets_share_a_signature(n):
     r = np.random.default_rng(n)

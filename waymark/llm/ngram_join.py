@@ -575,10 +575,18 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest doc_id stays, with its own columns."""
-    comp = jaccard_components(docs, words)
-    keep = comp.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    """docs without near copies: of each component the row with the smallest doc_id stays, with its own columns.
+
+    Rows are told by a 64-bit hash of doc_id and text, so a doc_id that is null or stands for several texts loses none: rows
+    with the same doc_id and the same text are one, null comes after all ids, and of equal ids the least hash stays.
+    """
+    key, columns = "_row_key", docs.columns
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+    comp = jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), words).select(F.col("doc_id").alias(key), "component_id").distinct()
+    ids = keyed.select(key, "doc_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", key)).alias("least")
+    keep = comp.join(ids, key).groupBy("component_id").agg(least).select(F.col(f"least.{key}").alias(key))
+    return keyed.join(keep, key, "left_semi").dropDuplicates([key]).select(columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
