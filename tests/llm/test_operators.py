@@ -270,6 +270,18 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(documents(spark, []).limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_copies_with_few_literals(spark):
+    """Items of numbers, names or title case, and short ones, are found as they stand; with other values they aren't."""
+    items = ["Compute 12 + 35 + 7 + 91 + 4 + 66 + 23 + 18 + 5 + 42", "What Is The Capital Of France And Of Spain And Of Old Prussia Before", "Anna Bertha Clara Dora Emma Frieda", "zebras eat grass", "Add 4 7 9 2", "Say how many fruits does Alice have 1 2 3 4 5 6 7 8 9 10"]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    data = [(i, f"some words before {t} and others after", "en", "a") for i, t in enumerate(items)]
+    other = ["Compute 13 + 35 + 7 + 92 + 4 + 67 + 23 + 19 + 5 + 43", "Why Was My Capital In Poland Or In Italy Or In New Bavaria After", "Anna Bertha Clara Dora Emma Gerda", "zebras eat hay", "Add 4 7 9 3"]
+    data += [(100 + i, f"some words before {t} and others after", "en", "a") for i, t in enumerate(other)]
+    out = decontaminate.contaminated(documents(spark, data), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == {(i, i) for i in range(len(items))}
+    assert not any(r.reparameterised for r in out)
+
+
 def test_decontamination_leaves_common_words_alone(spark):
     bench = spark.createDataFrame([(1, " ".join(WORDS[:8] + ["x1", "x2", "x3", "x4", "x5", "x6", "x7", "x8"]))], "item_id long, text string")
     assert decontaminate.contaminated(documents(spark, [(1, " ".join(WORDS), "en", "a")]), bench).count() == 0

@@ -2,8 +2,9 @@
 
 Tokens lose punctuation at their ends and are canonicalised: numbers, capitalised words (names) and units after a number
 become typed placeholders, other words are lowered. Windows of WIDTH tokens (the whole item, if it is shorter) with
-at least LITERAL tokens that are no placeholders are hashed; documents' windows are hash-joined with the items'. A
-matched window counts where its slots are consistent: equal slot values of the item stand for equal values in the
+at least LITERAL tokens that are no placeholders are hashed; documents' windows are hash-joined with the items'. Windows with
+fewer, and items of fewer than LEAST tokens, are hashed with the tokens themselves (lowered) in place of placeholders, so
+they match exact copies only, and have no slots. A matched window counts where its slots are consistent: equal slot values of the item stand for equal values in the
 document, and different for different. A document is contaminated by an item when consistent windows cover at least
 COVERED tokens of it, or all but EDGE of a shorter item. `reparameterised` tells that slots were filled with other values.
 
@@ -11,8 +12,8 @@ Before the join, a document's windows pass a bit table of fixed size (2**TABLE_B
 documents' share of the join is little more than what matches; what is shuffled are matches. A passage that many documents hold
 costs each its own matches, grouped by document and item, whose positions are at most the item's length.
 
-Defined results: null or empty text, or item: no match. Repeated rows of one doc_id: as one document. No item: no rows. Items too
-short or with too few literal tokens: no windows. Texts of any length: windows are hashed in one pass.
+Defined results: null or empty text, or item: no match. Repeated rows of one doc_id: as one document. No item: no rows. Items of
+one token or more have windows; a short one is found wherever its words stand in a row. Texts of any length: windows are hashed in one pass.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ TABLE_BITS = 26
 UNITS = "km m cm mm mi mile miles ft feet inch inches yard yards kg g mg lb lbs pound pounds ounce ounces oz ton tons liter liters litre litres l ml gallon gallons hour hours minute minutes second seconds day days week weeks month months year years percent degrees dollar dollars euro euros cents mph kmh"
 _PLACE = mix(np.arange(1, 4, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 NUMBER, NAME, UNIT = (int(x) for x in _PLACE)
+_EXACT = np.uint64(0x6A09E667F3BCC909)  # sets hashes of exact windows apart
 _WORD = np.ones(256, dtype=bool)  # bytes that aren't stripped
 _WORD[:128] = [chr(i).isalnum() for i in range(128)]
 _DIGIT = np.zeros(256, dtype=bool)
@@ -43,12 +45,12 @@ def _hash_of(word: str) -> int:
 
 
 def canonical(texts: Texts):
-    """start, end, row, hash and whether a placeholder stands, of every token that has a letter or digit."""
+    """start, end, row, hash, whether a placeholder stands, and the hash of the token itself, of every token that has a letter or digit."""
     start, end, row = texts.tokens()
     solid = np.flatnonzero(_WORD[texts.data])
     if not len(solid) or not len(start):
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(bool)
+        return none, none, none, none.astype(np.uint64), none.astype(bool), none.astype(np.uint64)
     i = np.searchsorted(solid, start)
     j = np.searchsorted(solid, end) - 1
     keep = j >= i
@@ -64,23 +66,30 @@ def canonical(texts: Texts):
     units = np.array(sorted(_hash_of(u) for u in UNITS.split()), dtype=np.uint64)
     before = np.concatenate([[False], number[:-1] & (row[1:] == row[:-1])])
     unit = before & (units[np.minimum(np.searchsorted(units, h), len(units) - 1)] == h)
-    h = np.where(number, _PLACE[0], np.where(name, _PLACE[1], np.where(unit, _PLACE[2], h)))
-    return start, end, row, h, number | name | unit
+    placed = np.where(number, _PLACE[0], np.where(name, _PLACE[1], np.where(unit, _PLACE[2], h)))
+    return start, end, row, placed, number | name | unit, h
 
 
 def windows(texts: Texts, width: int):
-    """(start, end, row, hash of each window that begins at a token, whether it counts)."""
-    start, end, row, h, slot = canonical(texts)
+    """(start, end, row, slot of each token; of each window that begins at a token its hash, whether it is within a row, and whether it is exact)."""
+    start, end, row, h, slot, plain = canonical(texts)
     n = len(h) - width + 1
     if n <= 0:
-        return start, end, row, slot, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+        return start, end, row, slot, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
     mult = powers(width, 0xC6BC279692B5C323)
     out = np.zeros(n, dtype=np.uint64)
     for k in range(width):
         out += h[k : n + k] * mult[k]
     literal = np.concatenate([[0], np.cumsum(~slot)])
-    ok = (row[:n] == row[width - 1 :]) & (literal[width:] - literal[:-width] >= min(LITERAL, width - 1))
-    return start, end, row, slot, mix(out + np.uint64(width)), ok
+    ok = row[:n] == row[width - 1 :]
+    exact = (literal[width:] - literal[:-width] < min(LITERAL, width - 1)) | (width < LEAST)
+    out = mix(out + np.uint64(width))
+    at = np.flatnonzero(exact & ok)
+    own = np.zeros(len(at), dtype=np.uint64)
+    for k in range(width):
+        own += plain[at + k] * mult[k]
+    out[at] = mix(own + np.uint64(width)) ^ _EXACT
+    return start, end, row, slot, out, ok, exact
 
 
 def _values(texts: Texts, start, end, slot, i: int, width: int) -> list[str]:
@@ -99,11 +108,11 @@ def _item_windows(batches):
                 one = Texts(texts.data[o[0] : o[1]], o - o[0])
                 n = len(canonical(one)[0])
                 width = min(WIDTH, n)
-                if width < LEAST:
+                if not width:
                     continue
-                start, end, _, slot, h, ok = windows(one, width)
+                start, end, _, slot, h, ok, exact = windows(one, width)
                 for i in np.flatnonzero(ok).tolist():
-                    for x, v in zip(out, (ids[first + r].as_py(), n, i, width, int(h[i].astype(np.int64)), _values(one, start, end, slot, i, width)), strict=True):
+                    for x, v in zip(out, (ids[first + r].as_py(), n, i, width, int(h[i].astype(np.int64)), [] if exact[i] else _values(one, start, end, slot, i, width)), strict=True):
                         x.append(v)
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["item_id", "item_tokens", "item_at", "width", "h", "item_slots"])
@@ -119,11 +128,11 @@ def _doc_windows(shared):
             out = [[] for _ in range(4)]
             for first, texts in groups(batch):
                 for width in widths:
-                    start, end, row, slot, h, ok = windows(texts, width)
+                    start, end, row, slot, h, ok, exact = windows(texts, width)
                     s = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
                     hit = np.flatnonzero(ok & ((packed[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1).astype(bool)) if len(h) else []
                     for i in hit:
-                        for x, v in zip(out, (ids[first + int(row[i])].as_py(), int(start[i] - texts.offsets[row[i]]), int(h[i].astype(np.int64)), _values(texts, start, end, slot, i, width)), strict=True):
+                        for x, v in zip(out, (ids[first + int(row[i])].as_py(), int(start[i] - texts.offsets[row[i]]), int(h[i].astype(np.int64)), [] if exact[i] else _values(texts, start, end, slot, i, width)), strict=True):
                             x.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "doc_at", "h", "doc_slots"])
