@@ -122,9 +122,11 @@ def test_embedding_links(spark):
     assert embedding_dedup.linked(df.limit(0)).count() == 0
 
 
-def test_embedding_crowded_cells(spark, monkeypatch):
-    """Cells of more vectors than a chunk are dealt to pairs of chunks, with the same links."""
-    monkeypatch.setattr(embedding_dedup, "CHUNK", 16)
+@pytest.mark.parametrize(("chunk", "leaf", "tile"), [(16, 8192, 512), (16, 24, 8), (8192, 24, 8)])
+def test_embedding_crowded_cells(spark, monkeypatch, chunk, leaf, tile):
+    """Cells of more vectors than a chunk are dealt to pairs of chunks, and crowds are cut, with the same links."""
+    for name, value in (("CHUNK", chunk), ("LEAF", leaf), ("TILE", tile)):
+        monkeypatch.setattr(embedding_dedup, name, value)
     r = np.random.default_rng(4)
     v = np.concatenate([c + 0.08 * r.standard_normal((60, 8)) for c in r.standard_normal((3, 8))])
     out = embedding_dedup.linked(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).orderBy("vec_id").collect()
@@ -132,6 +134,27 @@ def test_embedding_crowded_cells(spark, monkeypatch):
     assert [x.n_links for x in out] == ((m @ m.T >= 0.95).sum(1) - 1).tolist()
 
 
+@pytest.mark.parametrize("spread", [0.02, 0.2, 1.0])
+def test_embedding_trees_bring_near_vectors_together(spread, monkeypatch):
+    """Any two vectors within the radius meet in one cell, one of them at home and just once."""
+    monkeypatch.setattr(embedding_dedup, "LEAF", 20)
+    r = np.random.default_rng(8)
+    y = np.concatenate([c + spread * r.standard_normal((50, 4)) for c in r.standard_normal((6, 4))])
+    tree = embedding_dedup.grown(y[::2], 2, 0.3)
+    row, cell, home = embedding_dedup.routed(tree, y, 0.3)
+    assert sorted(row[home]) == list(range(len(y)))
+    met = Counter()
+    for c in np.unique(cell):
+        inside, at_home = row[cell == c], home[cell == c]
+        for i, a in enumerate(inside):
+            for j, b in enumerate(inside):
+                if at_home[i] and (not at_home[j] or a < b):
+                    met[tuple(sorted((int(a), int(b))))] += 1
+    assert max(met.values()) == 1
+    near = {(i, j) for i in range(len(y)) for j in range(i + 1, len(y)) if np.linalg.norm(y[i] - y[j]) <= 0.3}
+    assert near <= set(met)
+
+
 def test_lm_scores(spark):
     data = rows() + [(300 + i, prose(i, 30), "en", "a") for i in range(30)]
     df = documents(spark, data).withColumn("held_out", lm_score.held_out())
