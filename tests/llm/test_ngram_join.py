@@ -5,6 +5,7 @@ import pytest
 
 from fixtures import documents, prose, rows
 from waymark.llm import ngram_join as m
+from waymark.llm.common import bit_table
 
 
 def sets_of(data):
@@ -45,8 +46,10 @@ def test_brute_force(spark):
     check(m.jaccard_components(documents(spark)), data)
 
 
-def test_clusters_that_resemble_each_other(spark):
+@pytest.mark.parametrize("pair_bits", [1 << 25, 64])
+def test_clusters_that_resemble_each_other(spark, monkeypatch, pair_bits):
     """Clusters of copies, chained copies, and clusters near the threshold of each other."""
+    monkeypatch.setattr(m, "PAIR_BITS", pair_bits)
     data, k = [], 0
     for c in range(6):
         base = prose(50, 120).split()
@@ -103,7 +106,7 @@ def test_similar_sets_share_a_signature(n):
         if 4 * both >= 3 * (len(a) + len(b) - both):
             assert np.intersect1d(m.signatures(a), m.signatures(b)).size
             assert m._may_link(m.sketch(a), m.sketch(b))
-            assert not m.hubs_apart(m._unpacked(m.wide_sketch(a)), m._unpacked(m.wide_sketch(b)), 0, len(a) + len(b))
+            assert not m.Sketches([m.wide_sketch(a), m.wide_sketch(b)]).apart(0, np.array([1]), len(a) + len(b)).any()
 
 
 def test_hubs_apart_is_safe():
@@ -114,5 +117,12 @@ def test_hubs_apart_is_safe():
         x = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
         y = np.unique(np.concatenate([x[: int(r.integers(0, n))], r.integers(0, 2**64, int(r.integers(1, n)), dtype=np.uint64)]))
         d = len(x) + len(y) - 2 * len(np.intersect1d(x, y))
-        for reach in (0, 100):
-            assert not m.hubs_apart(m._unpacked(m.wide_sketch(x)), m._unpacked(m.wide_sketch(y)), reach, max(0, 7 * d - reach))
+        both = m.Sketches([m.wide_sketch(x), m.wide_sketch(y)])
+        assert both.distance(0, np.array([1]))[0] <= d and both.distance(1, np.array([0, 1])).tolist()[1] == 0
+        assert not both.apart(0, np.array([1]), 7 * d).any()
+
+
+def test_bit_table(spark):
+    for bits, numbers in ((17, [0, 5, 32767, 32768, 131071]), (15, [7]), (16, [])):
+        packed = bit_table(spark.createDataFrame([(x,) for x in [*numbers, *numbers, None]], "s long"), "s", bits)
+        assert np.flatnonzero(np.unpackbits(packed, bitorder="little")).tolist() == numbers

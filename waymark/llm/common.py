@@ -6,12 +6,14 @@ A-Z are lowered, nothing else. Token hashes are polynomial over bytes modulo 2**
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once; only a longer single text exceeds it.
 GROUP_BYTES = 1 << 20
@@ -54,6 +56,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy() -> None:
+    """Gives what a worker has freed back to the system, as workers stay for the stages to come."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's only
+        trim(0)
+
+
+def bit_table(rows: DataFrame, col: str, bits: int) -> np.ndarray:
+    """2**bits bits, eight a byte, lowest first: those whose number stands in the column are set. Bits are gathered on the executors, in pieces of 4 KB."""
+    pieces = rows.where(F.col(col).isNotNull()).groupBy(F.shiftright(F.col(col), 15).alias("piece")).agg(F.bitmap_construct_agg(F.col(col).bitwiseAND((1 << 15) - 1)).alias("b"))
+    out = np.zeros((max(1, 1 << max(0, bits - 15)), 1 << 12), dtype=np.uint8)
+    found = pieces.toArrow()
+    for piece, b in zip(found.column("piece").to_pylist(), found.column("b"), strict=True):
+        out[piece] = np.frombuffer(b.as_buffer(), dtype=np.uint8)
+    return out.ravel()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (finaliser of splitmix64)."""
     h = h.astype(np.uint64, copy=True)

@@ -2,8 +2,8 @@
 
 PartEnum: sets fall into bands of equal size ratio. For sets of one band or two neighbouring ones, at most
 k = floor(2 r (1-J)/(1+J)) features differ, r being the upper band's largest size. The feature domain is dealt into
-n1 = floor(k/2)+1 partitions, so in one of them at most one feature differs; each is dealt into three again, and each
-choice of two of the three gives a signature (the sum of the hashes of the features that fall there, plain if k = 0).
+n1 = floor(k / (DIFFER + 1)) + 1 partitions, so in one of them at most DIFFER features differ; each is dealt into CELLS cells again, and
+each choice of all but DIFFER of them gives a signature (the sum of the hashes of the features that fall there, plain if k = 0).
 Similar sets share one signature at least; each signature's holders are candidates, whose sets are compared exactly.
 
 Before that, sets that can't have a partner are told by an exact count. In similar sets A and B at most |A|/4 of A's
@@ -13,8 +13,9 @@ only sets with enough of them go on to signatures.
 
 Shuffled are then packed signatures (8 bytes each), and the sets of documents that have a candidate. Links are
 verified in rounds: first each candidate set against one partner, then what isn't connected by links yet, so a group of many
-copies costs about one comparison each and no link between groups is missed. Pairs between groups are told by hubs: what links with two sets far enough apart can't link, as differing features are a metric. A
-pair is first put to a bound: sets' counts of features in equal ranges of the domain can't differ more than the sets do.
+copies costs about one comparison each and no link between groups is missed. Pairs between groups are told by hubs: what links with
+two sets far enough apart can't link, as differing features are a metric. The bound is that sets' counts of features in equal ranges of the
+domain can't differ more than the sets do; these sketches go to the signatures, so pairs that are apart are never shuffled.
 
 Defined results: null text, or text without words: n_shingles 0, a component of its own. Fewer words than n: the whole
 sequence is the one n-gram. Equal texts, ties and repeated rows: one class each, all rows return. Features are 64-bit
@@ -31,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import groups, mix, powers, span_hashes, staged, table
+from waymark.llm.common import bit_table, groups, mix, powers, span_hashes, staged, table, tidy
 from waymark.llm.components import components
 
 NUM, DEN = 3, 4  # Jaccard
@@ -41,6 +42,8 @@ DIFFER, CELLS = 2, 6
 CHOSEN = np.array([[c not in out for out in combinations(range(CELLS), DIFFER)] for c in range(CELLS)], dtype=np.uint64)
 #: log2 of the most bits of the table that tells classes that go on (32 MB at most; beyond it, more go on than need to).
 FILTER_BITS = 28
+#: Pairs of hubs that a task tells at once.
+PAIR_BITS = 1 << 25
 HALF, _MASK = np.uint64(1 << 63), (1 << 64) - 1
 
 
@@ -243,6 +246,7 @@ _COUNTED = "part int, ids binary, times binary, doc_id long, n_shingles long, n_
 def _shared(parts: int):
     def run(key, t):
         """Of one part: for each class, how many of its features another class has too, packed by the class's part; and the members that came along."""
+        tidy()
         packed, rest = _split(t)
         out = [pa.Table.from_batches([_rows(_COUNTED, **{c: rest.column(c).combine_chunks() for c in ("doc_id", "n_shingles", "n_half", "class_id")})])] if rest.num_rows else []
         if packed.num_rows:
@@ -275,6 +279,7 @@ _MERGED = "part int, owners binary, sizes binary, class_id long, sketch binary,
 
 def _merged(key, t):
     """Of one part: the holders of each signature that more than one class has, in one row; and each set that came along once."""
+    tidy()
     packed, rest = _split(t)
     out = []
     if packed.num_rows:
@@ -316,33 +321,69 @@ def _placed(batches):
             yield _rows("part int, node long", part=np.full(len(x), part.as_py(), dtype=np.int32), node=x)
 
 
-def _across(key, t, c):
-    """Of one part: pairs of hubs of two holders of a signature that stand in different components, each once."""
+_MIXED = "part int, hubs binary, sizes binary, hub long, component long"
+
+
+def _mixed(key, t, c):
+    """Of one part: the hubs of the holders of each signature that spans components, each list once, in one row; and those hubs with their components."""
+    tidy()
     empty = np.zeros(0, dtype=np.int64)
     node, comp, hub = (np.asarray(c.column(x).combine_chunks()) if c.num_rows else empty for x in ("node", "component", "hub"))
     order = np.argsort(node)
     node, comp, hub = node[order], comp[order], hub[order]
-    found, seen = [], set()
+    lists, seen, of = [], set(), {}
     for owners, sizes in zip(t.column("owners"), t.column("sizes"), strict=True):
         own, cut = _runs(owners, sizes)
         cs, hs = own, own
         if len(node):
             at = np.minimum(np.searchsorted(node, own), len(node) - 1)
             cs, hs = np.where(node[at] == own, comp[at], own), np.where(node[at] == own, hub[at], own)
-        for r in range(len(cut) - 1):
-            k = cs[cut[r] : cut[r + 1]]
-            if (k == k[0]).all():
-                continue
+        if not len(own):
+            continue
+        spans = np.maximum.reduceat(cs, cut[:-1]) != np.minimum.reduceat(cs, cut[:-1])
+        for r in np.flatnonzero(spans):
             h, i = np.unique(hs[cut[r] : cut[r + 1]], return_index=True)
-            if (mark := h.tobytes()) in seen:
-                continue
-            seen.add(mark)
-            x, y = np.triu_indices(len(h), 1)
-            apart = k[i][x] != k[i][y]
-            found.append(np.stack([h[x[apart]], h[y[apart]]], 1))
-        if sum(map(len, found)) > 4_000_000:
-            found = [np.unique(np.concatenate(found), axis=0)]
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+            if (mark := h.tobytes()) not in seen:
+                seen.add(mark)
+                lists.append(h)
+                of.update(zip(h.tolist(), cs[cut[r] : cut[r + 1]][i].tolist(), strict=True))
+    if not lists:
+        return pa.Table.from_batches([_rows(_MIXED, part=np.zeros(0, dtype=np.int32))])
+    part = t.column("part")[0].as_py()
+    blob = _rows(_MIXED, part=np.array([part], dtype=np.int32), hubs=[np.concatenate(lists).tobytes()], sizes=[np.array([len(x) for x in lists], dtype=np.int32).tobytes()])
+    return pa.Table.from_batches([blob, _rows(_MIXED, part=np.full(len(of), part, dtype=np.int32), hub=np.array(list(of)), component=np.array(list(of.values())))])
+
+
+def _near(key, t, s):
+    """Of one part: pairs of hubs that hold one signature, stand in different components, and aren't apart by their sketches.
+
+    A table of bits by pair (PAIR_BITS of them at a time) tells each pair once, however many signatures propose it.
+    """
+    tidy()
+    hub, comp, reach, most, wide = (s.column(c).combine_chunks() for c in ("hub", "component", "reach", "most", "wide"))
+    order = np.argsort(np.asarray(hub))
+    hub, comp, reach, most = (np.asarray(c)[order] for c in (hub, comp, reach, most))
+    sketches = Sketches([wide[int(i)].as_buffer() for i in order])
+    groups_ = []
+    for hubs, sizes in zip(t.column("hubs"), t.column("sizes"), strict=True):
+        own, cut = _runs(hubs, sizes)
+        at = np.searchsorted(hub, own)
+        groups_ += [at[cut[r] : cut[r + 1]] for r in range(len(cut) - 1)]
+    found = []
+    rows = max(1, PAIR_BITS // max(1, len(hub)))
+    for low in range(0, len(hub), rows):
+        table_ = np.zeros((min(rows, len(hub) - low), len(hub)), dtype=bool)
+        for g in groups_:
+            i = g[np.searchsorted(g, low) : np.searchsorted(g, low + rows)]
+            if len(i):
+                table_[np.ix_(i - low, g)] = True
+        for r in range(len(table_)):
+            j = np.flatnonzero(table_[r, low + r + 1 :]) + low + r + 1
+            i = low + r
+            j = j[comp[j] != comp[i]]
+            j = j[~sketches.apart(i, j, reach[i] + reach[j] + most[i] + most[j])]
+            found.append(np.stack([np.full(len(j), hub[i]), hub[j]], 1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
@@ -353,40 +394,55 @@ def wide_sketch(s: np.ndarray) -> bytes:
     return len(s).to_bytes(8, "little") + (n[:, 0] | n[:, 1] << 2 | n[:, 2] << 4 | n[:, 3] << 6).tobytes()
 
 
-def _unpacked(x: bytes) -> tuple[int, np.ndarray]:
-    p = np.frombuffer(x, np.uint8, offset=8)
-    return int.from_bytes(x[:8], "little"), (p[:, None] >> np.array([0, 2, 4, 6], dtype=np.uint8) & 3).ravel()
-
-
-def hubs_apart(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray], reach: int, most: int) -> bool:
-    """Whether no set with hub x can link with one that has hub y.
-
-    Differing features are a metric: sets u, v that link with x, y differ in at least |x - y| - (|u| + |x|) / 7 - (|v| + |y|) / 7, and link
-    only at (|u| + |v|) / 7 or less. reach: the largest |u| + |x| (0 if x is alone) and |v| + |y|, added; most: the largest |u| and |v|, added.
-    """
-    (m, p), (n, q) = x, y
-    if len(p) != len(q):
-        k = min(len(p), len(q))
-        p, q = (c if len(c) == k else c.reshape(k, -1).sum(1) for c in (p.astype(np.int64), q.astype(np.int64)))
-        summed, plain = (p, q) if len(x[1]) > k else (q, p)
-        # A count of 3 stands for 3 or more; a sum under 3 has none in it.
-        differ = int(np.where(((summed > plain) & (plain < 3)) | ((summed < plain) & (summed < 3)), np.abs(summed - plain), 0).sum())
-    else:
-        differ = int(np.abs(p.astype(np.int64) - q).sum())
-    return (DEN + NUM) * differ > (DEN - NUM) * (reach + most)
-
-
-def _kept_hubs(key, t, s):
-    """Of one block: the pairs of hubs that aren't apart by their sketches."""
-    cols = (s.column(c).to_pylist() for c in ("class_id", "wide", "reach", "most"))
-    known = {k: (_unpacked(v), r, m) for k, v, r, m in zip(*cols, strict=True)}
-
-    def apart(a: int, b: int) -> bool:
-        (x, r, m), (y, q, n) = known[a], known[b]
-        return hubs_apart(x, y, r + q, m + n)
-
-    keep = pa.array([not apart(x, y) for x, y in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True)], pa.bool_())
-    return t.select(["a", "b"]).filter(keep)
+_FIELDS = np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], dtype=np.uint8) & 3  # a byte's four counts
+_BYTES_APART = np.abs(_FIELDS[:, None].astype(np.int16) - _FIELDS[None]).sum(2).astype(np.uint16).ravel()
+
+
+class Sketches:
+    """Wide sketches of sets, to be compared one with many."""
+
+    def __init__(self, wide: list):
+        raw = [np.frombuffer(x, np.uint8) for x in wide]
+        self.size = np.array([int(x[:8].copy().view("<u8")[0]) for x in raw], dtype=np.int64)
+        self.length = np.array([len(x) - 8 for x in raw], dtype=np.int64)
+        self.place = np.zeros(len(raw), dtype=np.int64)  # within the sketches of that length
+        self.of = {}
+        for n in np.unique(self.length):
+            at = np.flatnonzero(self.length == n)
+            self.place[at] = np.arange(len(at))
+            self.of[int(n)] = np.stack([raw[i][8:] for i in at])
+
+    def distance(self, i: int, j: np.ndarray) -> np.ndarray:
+        """At most as many features as differ between set i and each of sets j."""
+        out = np.abs(self.size[j] - self.size[i])
+        p, m = self.of[int(self.length[i])][self.place[i]], int(self.length[i])
+        for n in np.unique(self.length[j]):
+            at = np.flatnonzero(self.length[j] == n)
+            step = max(1, (1 << 20) // int(max(n, m)))
+            for s in range(0, len(at), step):
+                q = self.of[int(n)][self.place[j[at[s : s + step]]]]
+                if n == m:
+                    d = _BYTES_APART[p.astype(np.uint16) << 8 | q].sum(1, dtype=np.int64)
+                else:
+                    k = 4 * min(n, m)
+                    x, y = _FIELDS[p].reshape(1, k, -1).sum(2, dtype=np.int32), _FIELDS[q].reshape(len(q), k, -1).sum(2, dtype=np.int32)
+                    summed, plain = (x, y) if m > n else (y, x)
+                    # A count of 3 stands for 3 or more; a sum under 3 has none in it.
+                    d = np.where(((summed > plain) & (plain < 3)) | ((summed < plain) & (summed < 3)), np.abs(summed - plain), 0).sum(1)
+                out[at[s : s + step]] = np.maximum(out[at[s : s + step]], d)
+        return out
+
+    def apart(self, i: int, j: np.ndarray, allowed) -> np.ndarray:
+        """Whether no set with hub i can link with one that has hub j.
+
+        Differing features are a metric: sets u, v that link with hubs x, y differ in at least |x - y| - (|u| + |x|) / 7 - (|v| + |y|) / 7, and link
+        only at (|u| + |v|) / 7 or less. allowed: the largest |u| + |x| (0 if x is alone), |v| + |y|, |u| and |v|, added.
+        """
+        allowed = np.broadcast_to(allowed, len(j))
+        out = (DEN + NUM) * np.abs(self.size[j] - self.size[i]) > (DEN - NUM) * allowed
+        left = np.flatnonzero(~out)
+        out[left] = (DEN + NUM) * self.distance(i, j[left]) > (DEN - NUM) * allowed[left]
+        return out
 
 
 def _widened(batches):
@@ -406,25 +462,27 @@ def _hubs(links: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _near_hubs(signed: DataFrame, sets: DataFrame, assigned: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of hubs in different components whose members signatures propose and the hubs' distance doesn't rule out."""
+    """Pairs (a, b) of hubs in different components whose members signatures propose and the hubs' distance doesn't rule out.
+
+    Pairs are told apart where the signature is, by sketches that go there: one for each hub and part with a signature that spans
+    components, so at most one for each signature. What is proposed and apart makes no row.
+    """
     known = signed.mapInArrow(_placed, "part int, node long").join(assigned, "node")
-    far = staged(signed.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_across, "a long, b long").distinct(), "hub-pairs")
-    # Blocks of pairs: hubs are dealt to groups; each sketch goes to the blocks of its group, each pair to one.
-    used = far.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
-    wide = sets.select("class_id", "features").join(used, "class_id", "left_semi").mapInArrow(_widened, "class_id long, wide binary")
+    mixed = staged(signed.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_mixed, _MIXED), "mixed")
+    placed = mixed.where("hub is not null").select(F.col("part").alias("place"), "hub", "component")
+    wide = sets.select("class_id", "features").join(placed.select(F.col("hub").alias("class_id")).distinct(), "class_id", "left_semi").mapInArrow(_widened, "class_id long, wide binary")
     of = lambda c, to: sizes.select(F.col("class_id").alias(c), F.col("size").alias(to))
     spread = assigned.where("node <> hub").join(of("node", "s"), "node").join(of("hub", "h"), "hub").groupBy(F.col("hub").alias("class_id")).agg(F.max(F.col("s") + F.col("h")).alias("reach"), F.max("s").alias("largest"))
     wide = wide.join(sizes.select("class_id", "size"), "class_id").join(spread, "class_id", "left")
-    wide = staged(wide.select("class_id", "wide", F.coalesce("reach", F.lit(0)).alias("reach"), F.greatest("size", F.coalesce("largest", F.lit(0))).alias("most")), "wide")
-    total = wide.agg(F.sum(F.length("wide"))).first()[0] or 0
-    (x, g), (y, _), (own, _) = (_blocks(F.col(c), total, 6) for c in ("a", "b", "class_id"))
-    pairs = far.withColumn("block", F.least(x, y) * g + F.greatest(x, y))
-    dealt = wide.withColumn("own", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(g - 1)))).select("class_id", "wide", "reach", "most", (F.least("own", "j") * g + F.greatest("own", "j")).alias("block"))
-    return staged(pairs.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_kept_hubs, "a long, b long"), "near-hubs")
+    wide = staged(wide.select(F.col("class_id").alias("hub"), "wide", F.coalesce("reach", F.lit(0)).alias("reach"), F.greatest("size", F.coalesce("largest", F.lit(0))).alias("most")), "wide")
+    lists = mixed.where("hubs is not null").select("part", "hubs", "sizes")
+    near = lists.groupBy("part").cogroup(placed.join(wide, "hub").groupBy("place")).applyInArrow(_near, "a long, b long")
+    return staged(near.distinct(), "near-hubs")
 
 
 def _linked_members(key, t, s):
     """Of one block: links between what has one hub of a pair and what has the other. A pair of sets whose components are connected already is passed over."""
+    tidy()
     node, comp = s.column("node").to_pylist(), s.column("component").to_pylist()
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in s.column("features")]
     brief = [sketch(x) for x in sets]
@@ -449,10 +507,11 @@ def _linked_members(key, t, s):
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64()), "n": pa.array([1] * len(found), pa.int64())})
 
 
-def _blocks(hub, total: int, least: int):
-    """The group of a hub, and how many there are: a block is a pair of groups, of some 16 MB together."""
+def _block(total: int, least: int = 6):
+    """Of pairs (a, b) of hubs the pair of groups they belong to; a block is some 16 MB of sets."""
     g = max(least, -(-total // (8 << 20)))
-    return F.pmod(F.xxhash64(hub, F.lit(9)), F.lit(g)), g
+    x, y = (F.pmod(F.xxhash64(F.col(c), F.lit(9)), F.lit(g)) for c in ("a", "b"))
+    return F.least(x, y) * g + F.greatest(x, y)
 
 
 def _member_links(near: DataFrame, sets: DataFrame, assigned: DataFrame, comp: DataFrame) -> DataFrame:
@@ -463,27 +522,22 @@ def _member_links(near: DataFrame, sets: DataFrame, assigned: DataFrame, comp: D
     nodes = every.join(now, "node", "left").join(sets.select(F.col("class_id").alias("node"), "features"), "node")
     nodes = staged(nodes.select("hub", "node", F.coalesce("component", "node").alias("component"), "features"), "members")
     total = nodes.agg(F.sum(F.length("features"))).first()[0] or 0
-    (x, g), (y, _), (own, _) = (_blocks(F.col(c), total, 6) for c in ("a", "b", "hub"))
-    pairs = near.select("a", "b", (F.least(x, y) * g + F.greatest(x, y)).alias("block"))
-    dealt = nodes.withColumn("own", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(g - 1)))).select("hub", "node", "component", "features", (F.least("own", "j") * g + F.greatest("own", "j")).alias("block"))
-    return pairs.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_linked_members, "a long, b long, n long")
+    pairs = near.select("a", "b", _block(total).alias("block"))
+    dealt = pairs.select(F.col("block").alias("place"), F.explode(F.array("a", "b")).alias("hub")).distinct().join(nodes, "hub")
+    return pairs.groupBy("block").cogroup(dealt.groupBy("place")).applyInArrow(_linked_members, "a long, b long, n long")
 
 
-def _table_of(rows: DataFrame, *cols: str):
-    """A bit table of bounded size, broadcast: whether a class whose digest starts so stands in the columns."""
-    classes = rows.select(F.explode(F.array(*cols)).alias("c"))
-    bits = min(FILTER_BITS, max(16, int(classes.agg(F.approx_count_distinct("c")).first()[0]).bit_length() + 6))
-    used = classes.select(F.shiftrightunsigned("c", 64 - bits).alias("s")).distinct().toArrow()
-    flags = np.zeros(1 << bits, dtype=bool)
-    flags[np.asarray(used.column("s")).astype(np.int64)] = True
-    return rows.sparkSession.sparkContext.broadcast((bits, np.packbits(flags)))
+def _table_of(rows: DataFrame, col: str):
+    """A bit table of bounded size, broadcast: whether a class whose digest starts so stands in the column."""
+    bits = min(FILTER_BITS, max(16, int(rows.agg(F.approx_count_distinct(col)).first()[0]).bit_length() + 6))
+    return rows.sparkSession.sparkContext.broadcast((bits, bit_table(rows.select(F.shiftrightunsigned(col, 64 - bits).alias("s")), "s", bits)))
 
 
 def _admitted(admit):
     if admit is None:
         return lambda d: True
     bits, packed = admit.value
-    return lambda d: bool(packed[(s := (d & (1 << 64) - 1) >> 64 - bits) >> 3] >> (7 - (s & 7)) & 1)
+    return lambda d: bool(packed[(s := (d & _MASK) >> 64 - bits) >> 3] >> (s & 7) & 1)
 
 
 def sketch(s: np.ndarray) -> bytes:
