@@ -92,7 +92,42 @@ def test_mixing_meets_targets(spark, extra):
     for s, t in target.items():
         assert abs(taken[s] - t) <= 0.51
     assert mixing.mixed(documents(spark, []).limit(0)).count() == 0
-    assert mixing.mixture(documents(spark, data)).columns == documents(spark, data).columns
+
+
+def expected_copies(data):
+    """How often the mix takes each (doc_id, text, source): in the order of keys, the row at the cut if half of it is taken."""
+    tokens = lambda t: len(re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()))
+    size, target = mixed(data)
+    out = Counter()
+    for s in size:
+        own = [r for r in data if r[3] == s]
+        key = lambda r: int(hashlib.md5(f"{'' if r[0] is None else r[0]}:5".encode()).hexdigest()[:15], 16)
+        budget = int(math.floor(target[s] + 0.5))
+        epochs, rest = divmod(budget, size[s]) if size[s] else (0, 0)
+        for r in sorted(own, key=lambda r: (key(r), r[1] or "")):
+            n = tokens(r[1])
+            more = min(n, max(0, rest))
+            rest -= n
+            out[(r[0], r[1], s)] += epochs + (2 * more >= n and more > 0) if n else 1
+    return Counter({k: v for k, v in out.items() if v})
+
+
+@pytest.mark.parametrize("extra", [[], [(500 + i, prose(i, 20), "en", "huge") for i in range(60)], [(900, "", "en", "none")], [(77, prose(5, 10), "en", "same")] * 6, [(None, prose(6, 9), "en", None)] * 3])
+def test_mixture_meets_targets(spark, extra):
+    """Each row as often as computed by hand, also rows that are repeated; the words of a source are its target but for the row at the cut."""
+    data = rows() + extra
+    docs = documents(spark, data).repartition(3)
+    out = mixing.mixture(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == expected_copies(data)
+    words = Counter()
+    for r in got:
+        words[r.source] += len((r.text or "").split())
+    _, target = mixed(data)
+    for s, t in target.items():
+        assert abs(words[s] - t) <= max([len((r[1] or "").split()) for r in data if r[3] == s]) / 2 + 1
+    assert mixing.mixture(docs.limit(0)).count() == 0
 
 
 def test_embedding_links(spark):

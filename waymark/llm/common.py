@@ -46,6 +46,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 1 << 17) -> DataFrame:
+    """df, to be broadcast if it was counted to have so many rows (of some numbers and a short string) at most; else Spark chooses the join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Rows of texts go to Python workers in batches of a few MB; the default of 10,000 rows takes tens of MB on both sides."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

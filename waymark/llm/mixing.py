@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import staged, table
+from waymark.llm.common import small, staged, table
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
@@ -29,11 +29,14 @@ def words(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _key(seed: int = 5):
+    digits = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    return F.conv(F.substring(digits, 1, 15), 16, 10).cast("long")
+
+
 def keyed(docs: DataFrame, size, seed: int = 5) -> DataFrame:
     """doc_id, source, size, key and bucket of every row."""
-    digits = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    key = F.conv(F.substring(digits, 1, 15), 16, 10).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"))
+    rows = docs.select("doc_id", "source", size.alias("size"), _key(seed).alias("key"), F.xxhash64("text").alias("tie"))
     return rows.withColumn("bucket", F.shiftright("key", 60 - BUCKETS.bit_length() + 1).cast("int"))
 
 
@@ -50,32 +53,65 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     return open_.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(final, F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
-def mixed(docs: DataFrame, size=None, **how) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every row of docs(doc_id, source, text)."""
-    rows = staged(keyed(docs, words(F.col("text")) if size is None else size), "mix")
+def _planned(rows: DataFrame, **how) -> DataFrame:
+    """s, b, bucket_size, offset, source_size, target, epochs and rest (of the last, partial epoch) of every bucket of rows."""
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     goal = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), **how)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
-    offsets = offsets.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "offset", "source_size", "target")
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    offsets = offsets.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - epochs * F.col("source_size") - F.col("offset") - F.col("within")
-    taken = epochs * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "tie")
+    return offsets.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "bucket_size", "offset", "source_size", "target", epochs.alias("epochs"), (budget - epochs * F.col("source_size")).alias("rest"))
+
+
+def _bucket():
+    return F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))
+
+
+def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows of the plan's buckets, and before: what their source has before them."""
+    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(plan, _bucket()).withColumn("before", F.col("offset") + F.col("within"))
+
+
+def mixed(docs: DataFrame, size=None, **how) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of every row of docs(doc_id, source, text)."""
+    rows = staged(keyed(docs, words(F.col("text")) if size is None else size), "mix")
+    placed = _placed(rows, _planned(rows, **how))
+    taken = F.col("epochs") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("before")))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
-    """Rows of docs as often as the mix takes them; the one row a source in which its budget ends is taken where at least half of it is."""
-    m = mixed(docs, **how)
-    times = F.when(m["size"] > 0, F.round(m["taken"] / m["size"])).otherwise(1).cast("int")
-    picked = m.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), times.alias("_times")).where("_times > 0").dropDuplicates(["_id", "_source", "_tie"])
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (F.xxhash64(docs["text"]) == F.col("_tie"))
-    names = [docs[c] for c in docs.columns]
-    return docs.join(picked, same).select(*names, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(docs.columns)
+    """Rows of docs as often as the mix takes them; the one row a source in which its budget ends is taken where at least half of it is. Rows without words come once.
+
+    A source's order is cut in one place, so a row is compared with its source's cut, and rows of text aren't shuffled. Only rows equal to the
+    row at the cut are told from each other, by their number.
+    """
+    rows = staged(keyed(docs, words(F.col("text"))), "mix")
+    plan = staged(_planned(rows, **how), "plan")
+    holds = plan.where((F.col("source_size") > 0) & (F.col("offset") <= F.col("rest")) & (F.col("rest") < F.col("offset") + F.col("bucket_size")))
+    near = _placed(rows.join(holds.select("s", "b"), _bucket(), "left_semi"), holds)
+    same = near.groupBy("s", "epochs", "rest", "key", "doc_id", "tie", "size").agg(F.min("before").alias("start"), F.count("*").alias("n"))
+    cut = same.where((F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("n") * F.col("size")))
+    full = F.floor((F.col("rest") - F.col("start") + F.floor(F.col("size") / 2)) / F.col("size"))  # rows of the cut's that are taken once more: whole, or at least half
+    cut = staged(cut.select(F.col("s").alias("_s"), F.col("epochs").alias("_epochs"), F.struct("key", "doc_id", "tie").alias("_cut"), full.alias("_full")), "cuts")
+    kept = docs.columns
+    at = F.struct(_key().alias("key"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("tie"))
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    told = docs.withColumns({"_at": at, "_wordy": wordy}).join(small(cut), F.col("source").eqNullSafe(F.col("_s")), "left")
+    told = told.withColumn("_equal", F.coalesce(F.col("_at") == F.col("_cut"), F.lit(False)) & F.col("_wordy"))
+    times = F.when(~F.col("_wordy"), 1).otherwise(F.coalesce("_epochs", F.lit(0)) + F.when(F.col("_at") < F.col("_cut"), 1).otherwise(0))
+    plain = told.where("not _equal").withColumn("_times", times.cast("int")).select(*kept, "_times")
+    # Rows equal to the cut's are numbered: each written part of them apart, after the counts of the parts before.
+    equal = staged(told.where("_equal").select(*kept, "_s", "_epochs", "_full").withColumn("_m", F.monotonically_increasing_id()), "equal")
+    part = F.shiftright("_m", 33)
+    counts = equal.groupBy(F.col("_s").alias("_o"), part.alias("_p")).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(Window.partitionBy("_o").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    equal = equal.withColumn("_r", F.row_number().over(Window.partitionBy("_s", part).orderBy("_m")) - 1).join(counts, F.col("_s").eqNullSafe(F.col("_o")) & (part == F.col("_p")))
+    equal = equal.withColumn("_times", (F.col("_epochs") + F.when(F.col("_first") + F.col("_r") < F.col("_full"), 1).otherwise(0)).cast("int")).select(*kept, "_times")
+    return plain.unionByName(equal).where("_times > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
