@@ -4,15 +4,17 @@ Tokens lose punctuation at their ends and are canonicalised: numbers, capitalise
 become typed placeholders, other words are lowered. Windows of WIDTH tokens (the whole item, if it is shorter) with
 at least LITERAL tokens that are no placeholders are hashed; documents' windows are hash-joined with the items'. Windows with
 fewer, and items of fewer than LEAST tokens, are hashed with the tokens themselves (lowered) in place of placeholders, so
-they match exact copies only, and have no slots. A matched window counts where its slots are consistent: equal slot values of the item stand for equal values in the
-document, and different for different. A document is contaminated by an item when consistent windows cover at least
+they match exact copies only, and have no slots. Matched windows are aligned: those at one offset between document and item are a run, and so are
+neighbouring offsets (up to SHIFT tokens were put in or left out). A run counts where its slots are consistent over the whole item: equal slot values of the
+item stand for equal values in the document, and different for different; of an inconsistent run only windows with the item's own values
+count. A document is contaminated by an item when what counts of one run covers at least
 COVERED tokens of it, or all but EDGE of a shorter item. `reparameterised` tells that slots were filled with other values.
 
 Before the join, a document's windows pass a bit table of fixed size (2**TABLE_BITS bits) of the items' hashes, so the
 documents' share of the join is little more than what matches; what is shuffled are matches. A passage that many documents hold
-costs each its own matches, grouped by document and item, whose positions are at most the item's length.
+costs each its own matches, grouped by document, item and offset, whose positions are at most the item's length.
 
-Defined results: null or empty text, or item: no match. Repeated rows of one doc_id: as one document. No item: no rows. Items of
+Defined results: null or empty text, or item: no match. Repeated rows of one doc_id, or of null: as one document (`clean` tells rows by doc_id and text). No item: no rows. Items of
 one token or more have windows; a short one is found wherever its words stand in a row. Texts of any length: windows are hashed in one pass.
 """
 
@@ -20,12 +22,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Texts, groups, mix, powers, span_hashes, table
+from waymark.llm.common import Texts, bit_table, groups, mix, powers, small, span_hashes, staged, table
 
-WIDTH, LITERAL, COVERED, EDGE, LEAST = 8, 4, 13, 2, 5
+WIDTH, LITERAL, COVERED, EDGE, LEAST, SHIFT = 8, 4, 13, 2, 5, 3
 TABLE_BITS = 26
 
 # Words that are units after a number.
@@ -93,8 +95,8 @@ def windows(texts: Texts, width: int):
 
 
 def _values(texts: Texts, start, end, slot, i: int, width: int) -> list[str]:
-    """What fills the slots of a window, by place."""
-    return [f"{k}:{texts.data[start[i + k] : end[i + k]].tobytes().decode('utf-8', 'replace')}" for k in range(width) if slot[i + k]]
+    """What fills the slots of a window, in order."""
+    return [texts.data[start[i + k] : end[i + k]].tobytes().decode("utf-8", "replace") for k in range(width) if slot[i + k]]
 
 
 def _item_windows(batches):
@@ -119,23 +121,24 @@ def _item_windows(batches):
 
 
 def _doc_windows(shared):
-    """Of every document: the windows that the bit table admits."""
+    """Of every document: the windows that the bit table admits, with the token and the byte where they begin."""
 
     def run(batches):
         widths, packed = shared.value
         for batch in batches:
             ids = batch.column(batch.schema.names.index("doc_id"))
-            out = [[] for _ in range(4)]
+            out = [[] for _ in range(5)]
             for first, texts in groups(batch):
                 for width in widths:
                     start, end, row, slot, h, ok, exact = windows(texts, width)
+                    begins = np.searchsorted(row, np.arange(texts.n))  # first token of each row
                     s = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-                    hit = np.flatnonzero(ok & ((packed[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1).astype(bool)) if len(h) else []
+                    hit = np.flatnonzero(ok & ((packed[s >> 3] >> (s & 7).astype(np.uint8)) & 1).astype(bool)) if len(h) else []
                     for i in hit:
-                        for x, v in zip(out, (ids[first + int(row[i])].as_py(), int(start[i] - texts.offsets[row[i]]), int(h[i].astype(np.int64)), [] if exact[i] else _values(texts, start, end, slot, i, width)), strict=True):
+                        for x, v in zip(out, (ids[first + int(row[i])].as_py(), int(i - begins[row[i]]), int(start[i] - texts.offsets[row[i]]), int(h[i].astype(np.int64)), [] if exact[i] else _values(texts, start, end, slot, i, width)), strict=True):
                             x.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "doc_at", "h", "doc_slots"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "doc_token", "doc_at", "h", "doc_slots"])
 
     return run
 
@@ -143,30 +146,41 @@ def _doc_windows(shared):
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, item_tokens, covered, n_windows, reparameterised, first_at (byte) of every contaminated document, by item."""
     items = benchmark.select("item_id", "text").mapInArrow(_item_windows, "item_id long, item_tokens int, item_at int, width int, h long, item_slots array<string>")
-    used = items.select("width", F.shiftrightunsigned("h", 64 - TABLE_BITS).alias("s")).distinct().toArrow()
-    flags = np.zeros(1 << TABLE_BITS, dtype=bool)
-    flags[np.asarray(used.column("s")).astype(np.int64)] = True
-    widths = sorted(set(used.column("width").to_pylist()))
-    shared = docs.sparkSession.sparkContext.broadcast((widths, np.packbits(flags)))
-    found = docs.select("doc_id", "text").mapInArrow(_doc_windows(shared), "doc_id long, doc_at long, h long, doc_slots array<string>")
-    both = found.join(items, "h")
-    # Consistent: as many distinct (item value, document value) pairs as distinct values on either side; places are alike by the template.
-    bare = lambda c: F.transform(c, lambda x: F.substring_index(x, ":", -1))
-    pairs = F.size(F.array_distinct(F.arrays_zip(bare("item_slots"), bare("doc_slots"))))
-    same = (pairs == F.size(F.array_distinct(bare("item_slots")))) & (pairs == F.size(F.array_distinct(bare("doc_slots"))))
-    ok = both.where(same)
-    hits = ok.groupBy("doc_id", "item_id").agg(
-        F.first("item_tokens").alias("item_tokens"), F.collect_set(F.struct("item_at", "width")).alias("at"), F.min("doc_at").alias("first_at"), F.max(F.col("item_slots") != F.col("doc_slots")).alias("reparameterised")
+    widths = sorted(r.width for r in items.select("width").distinct().collect())  # WIDTH of them at most
+    packed = bit_table(items.select(F.shiftrightunsigned("h", 64 - TABLE_BITS).alias("s")), "s", TABLE_BITS)
+    shared = docs.sparkSession.sparkContext.broadcast((widths, packed))
+    found = docs.select("doc_id", "text").mapInArrow(_doc_windows(shared), "doc_id long, doc_token long, doc_at long, h long, doc_slots array<string>")
+    both = found.join(items, "h").where(F.size("item_slots") == F.size("doc_slots"))
+    one = F.struct("item_at", "width")
+    runs = both.groupBy("doc_id", "item_id", (F.col("doc_token") - F.col("item_at")).alias("offset")).agg(
+        F.first("item_tokens").alias("item_tokens"), F.collect_set(one).alias("at"), F.min("doc_at").alias("first_at"),
+        F.collect_set(F.when(F.col("item_slots") == F.col("doc_slots"), one)).alias("own"),
+        F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "doc_slots")))).alias("pairs"),
+    )
+    # Each offset is a run, and so are neighbouring offsets together.
+    line = Window.partitionBy("doc_id", "item_id").orderBy("offset")
+    gap = F.when(F.col("offset") - F.lag("offset").over(line) <= SHIFT, 0).otherwise(1)
+    chained = runs.withColumn("gap", gap).withColumn("run", F.sum("gap").over(line))
+    joined = chained.groupBy("doc_id", "item_id", "run").agg(
+        F.first("item_tokens").alias("item_tokens"), *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("at", "own", "pairs")], F.min("first_at").alias("first_at"), F.count("*").alias("n")
     )
+    cols = ("doc_id", "item_id", "item_tokens", "at", "own", "pairs", "first_at")
+    every = runs.select(*cols).unionByName(joined.where("n > 1").select(*cols))
+    values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
+    consistent = (F.size("pairs") == values("item_slots")) & (F.size("pairs") == values("doc_slots"))
+    hits = every.withColumn("at", F.when(consistent, F.col("at")).otherwise(F.col("own")))
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda w: F.sequence(w["item_at"], w["item_at"] + w["width"] - 1)))))
-    hits = hits.withColumn("covered", covered).withColumn("n_windows", F.size("at"))
-    return hits.where(F.col("covered") >= F.least(F.lit(COVERED), F.col("item_tokens") - F.when(F.col("item_tokens") > WIDTH, EDGE).otherwise(0))).select("doc_id", "item_id", "item_tokens", "covered", "n_windows", "reparameterised", "first_at")
+    hits = hits.withColumn("covered", covered).withColumn("n_windows", F.size("at")).withColumn("reparameterised", F.size(F.array_except("at", "own")) > 0)
+    hits = hits.where((F.col("n_windows") > 0) & (F.col("covered") >= F.least(F.lit(COVERED), F.col("item_tokens") - F.when(F.col("item_tokens") > WIDTH, EDGE).otherwise(0))))
+    best = F.max_by(F.struct("item_tokens", "covered", "n_windows", "reparameterised"), F.struct("covered", ~F.col("reparameterised"), "n_windows", -F.col("first_at")))
+    return hits.groupBy("doc_id", "item_id").agg(best.alias("best"), F.min("first_at").alias("first_at")).select("doc_id", "item_id", "best.item_tokens", "best.covered", "best.n_windows", "best.reparameterised", "first_at")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated rows."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
+    """docs without the contaminated rows. Rows are told by a 64-bit hash of doc_id and text, so ids that are null or stand for several texts harm none."""
+    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+    bad = staged(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
+    return docs.join(small(bad, 1 << 20), key == F.col("_bad"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
