@@ -2,9 +2,9 @@
 
 Kinds and what confirms them. Base kinds, which always stay: email; ip (four parts of at most 255); card (13 to 19 digits,
 Luhn); phone (international, 9 to 15 digits). Added kinds, kept from MIN_SCORE on: iban (country code, length, mod-97),
-ssn (three groups, no group of zeros), tel (national number: needs a word such as tel or call before it), secret (a long mixed value
+ssn (three groups, no group of zeros), tel (national number: needs a word such as tel or call beside it), secret (a long mixed value
 after a word such as token or password). A score starts at the kind's prior and gains CONTEXT for a context word among the
-WINDOW characters before the span. Each kind's matches are leftmost and don't overlap one another.
+WINDOW characters before the span or the AFTER characters behind it, told at the bounds of words. Each kind's matches are leftmost and don't overlap one another.
 
 Whole texts are scanned in their task, in time linear in their length: searches are anchored at a character that a match must
 hold ("@", "+") or can't begin within a run. Offsets count code points, ends are exclusive.
@@ -25,17 +25,19 @@ from waymark.llm.common import table
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "tel", "secret")
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "tel": 0.2, "secret": 0.3}
-CONTEXT, WINDOW, MIN_SCORE = 0.4, 40, 0.6
+CONTEXT, WINDOW, AFTER, MIN_SCORE = 0.4, 40, 20, 0.6
+#: Whole words, or with a star beginnings of words.
 WORDS = {
-    "email": ("mail", "contact", "write", "reach", "schreib", "correo", "courriel"),
-    "ip": ("ip", "host", "server", "address", "addr"),
-    "card": ("card", "visa", "credit", "karte", "carte", "tarjeta"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "anruf", "ruf", "llam", "appel"),
-    "iban": ("iban", "account", "konto", "compte", "cuenta"),
-    "ssn": ("ssn", "social", "security"),
-    "tel": ("phone", "tel", "call", "mobile", "fax", "whatsapp"),
-    "secret": ("token", "secret", "password", "passwd", "api_key", "apikey", "key"),
+    "email": "mail* email* e-mail* contact* write reach schreib* correo* courriel*",
+    "ip": "ip ipv4 host* server* address* addr*",
+    "card": "card* visa mastercard amex credit* karte* kreditkarte* carte* tarjeta*",
+    "phone": "phone* tel telephone* telefon* telef* call* mobile* cell fax anruf* ruf rufen llam* appel*",
+    "iban": "iban account* konto* compte* cuenta*",
+    "ssn": "ssn social security",
+    "tel": "phone* tel telephone* telefon* telef* call* mobile* fax whatsapp",
+    "secret": "token* secret* password* passwd api_key* apikey* key keys",
 }
+_NEAR = {k: re.compile("|".join(rf"(?<![^\W_]){re.escape(w.rstrip('*'))}" + ("" if w.endswith("*") else r"(?![^\W_])") for w in v.split())) for k, v in WORDS.items()}
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # Each begins with a character class, which the search skips to quickly, and looks behind it from there.
@@ -104,9 +106,15 @@ def base_spans(t: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def score(kind: str, t: str, start: int) -> float:
-    near = t[max(0, start - WINDOW) : start].lower()
-    return min(1.0, PRIOR[kind] + CONTEXT * any(w in near for w in WORDS[kind]))
+def score(kind: str, t: str, start: int, end: int) -> float:
+    """The prior, and more for a context word on either side; a word that the window cuts doesn't count."""
+    low, high = max(0, start - WINDOW), min(len(t), end + AFTER)
+    before, after = t[low:start].lower(), t[end:high].lower()
+    if low and t[low - 1].isalnum():
+        before = re.sub(r"^[^\W_]+", "", before)
+    if high < len(t) and t[high].isalnum():
+        after = re.sub(r"[^\W_]+$", "", after)
+    return min(1.0, PRIOR[kind] + CONTEXT * bool(_NEAR[kind].search(before) or _NEAR[kind].search(after)))
 
 
 def added_spans(t: str) -> dict[str, list[tuple[int, int]]]:
@@ -116,7 +124,7 @@ def added_spans(t: str) -> dict[str, list[tuple[int, int]]]:
     found["ssn"] = [m.span() for m in _SSN.finditer(t) if m[0][:3] not in ("000", "666") and m[0] < "900" and m[0][4:6] != "00" and m[0][7:] != "0000"]
     found["tel"] = [m.span() for m in _TEL.finditer(t) if 7 <= sum(c.isdigit() for c in m[0]) <= 13]
     found["secret"] = [m.span(1) for m in _SECRET.finditer(t) if any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1])]
-    return {k: [s for s in v if score(k, t, s[0]) >= MIN_SCORE] for k, v in found.items()}
+    return {k: [s for s in v if score(k, t, *s) >= MIN_SCORE] for k, v in found.items()}
 
 
 def spans(t: str) -> dict[str, list[tuple[int, int]]]:
@@ -149,7 +157,7 @@ def _found(batches):
             t = x.as_py() or ""
             base = base_spans(t)
             both = base | added_spans(t)
-            scores = [score(k, t, a) for k in (*BASE, *ADDED) for a, _ in both[k]]
+            scores = [score(k, t, *s) for k in (*BASE, *ADDED) for s in both[k]]
             rows.append((*(len(base[k]) for k in BASE), hashlib.sha256(joined(base, BASE).encode()).hexdigest(), joined(both, (*BASE, *ADDED)), sum(len(both[k]) for k in ADDED), scores))
         kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.list_(pa.float64())]
         cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
