@@ -5,7 +5,7 @@ copies of any size can still be cut. Probes: exact bytes are counted by ranges o
 FAN equal ranges; then each range that holds a splitter and more bytes than the tolerance, or is too heavy for one task, is
 probed again by FAN ranges of its own, until none is (or its keys are all equal). The splitters are the probed
 boundaries nearest to the even cuts. Neighbouring ranges of a shard are joined to leaves of at most 1 / (shards * FINE) of all
-bytes; the rows are then exchanged once, by leaf, and a row's slot is its rank in the leaf plus the counted rows of
+bytes, or LEAF_BYTES if that is less; the rows are then exchanged once, by leaf, and a row's slot is its rank in the leaf plus the counted rows of
 the shard's leaves before. Between the driver and the executors pass at most FAN counts for each range probed.
 
 Law `bytes`: a splitter is off its even cut by half the tolerance (1 / (shards * EXACT) of all bytes) or half of the row there.
@@ -25,6 +25,7 @@ from waymark.llm.common import staged, table
 
 SHARDS, OVERHEAD = 40, 16
 FAN, FINE, EXACT = 1024, 8, 1000
+LEAF_BYTES = 512 << 20
 KEY_BITS = 63
 KEY, SIZE, LEAF, SHARD, BEFORE = "_shard_key", "_shard_size", "_shard_leaf", "_shard_no", "_shard_before"
 
@@ -79,11 +80,12 @@ def plan(slim: DataFrame, shards: int) -> Plan:
     ranges = sorted(_probe(slim, np.zeros(1, dtype=np.int64), np.array([(1 << KEY_BITS) - 1])))
     total = sum(r[2] for r in ranges)
     cuts = [total * i / shards for i in range(1, shards)]
+    leaf = min(total / (shards * FINE), LEAF_BYTES)
     while True:
         ends = np.cumsum([r[2] for r in ranges])
         held = np.searchsorted(ends, cuts, side="right")  # the range in which each cut falls
         holds = set(held.tolist())
-        again = [i for i, (_, w, b, n) in enumerate(ranges) if w > 1 and n > 1 and (b * shards * FINE > total or i in holds and b * shards * EXACT > total)]
+        again = [i for i, (_, w, b, n) in enumerate(ranges) if w > 1 and n > 1 and (b > leaf or i in holds and b * shards * EXACT > total)]
         if not again:
             break
         finer = _probe(slim, np.array([ranges[i][0] for i in again]), np.array([ranges[i][1] for i in again]))
@@ -95,7 +97,7 @@ def plan(slim: DataFrame, shards: int) -> Plan:
     low, shard, before = [], [], []
     size, rows = 0, 0
     for (k, _, b, n), s in zip(ranges, shard_of.tolist(), strict=True):
-        if not low or s != shard[-1] or (size + b) * shards * FINE > total:
+        if not low or s != shard[-1] or size + b > leaf:
             rows = 0 if not low or s != shard[-1] else rows
             low.append(k)
             shard.append(s)
