@@ -11,7 +11,7 @@ No conversation is gathered in one place: rows stay rows, and the join key holds
 
 Defined results: null text: content null. Null role: role null. Text that isn't a JSON object: content as it is. Several calls with
 one identifier in a conversation: the first by turn and place is linked, the others count as calls that nothing answers. Several results of one call: the first by turn
-answers it, the others are `extra`. A result without a call: `orphan`. Results that answer each other in a circle: `cyclic`, at their turns. Unknown tool or broken arguments: not valid. Repeated rows: each a row.
+answers it, the others are `extra`. A result without a call: `orphan`. Results that answer each other in a circle: `cyclic`, at their turns (what hangs from a circle is placed after it). Unknown tool or broken arguments: not valid. Repeated rows: each a row.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import staged, table
 
-DEEPEST = 32
 _PARSED = "content string, tool_calls array<struct<id:string,name:string,arguments:string>>, tool_call_id string"
 
 #: Tools by name: required keys, and for each key its type and bounds.
@@ -91,6 +90,18 @@ def _lines(tools: dict):
     return run
 
 
+def _circles(links: DataFrame) -> DataFrame:
+    """row: what stands on a circle of links(row, up), a pointer a row. Pointers are doubled: a round that leaves as many rows and as many targets has only circles left as targets."""
+    state, before = staged(links, "links"), None
+    while True:
+        held = state.select(F.col("row").alias("up"), F.col("up").alias("next"))
+        state = staged(state.join(held, "up").select("row", F.col("next").alias("up")), "links")
+        now = state.agg(F.count("*"), F.countDistinct("up")).first()
+        if now[0] == 0 or now == before:
+            return state.select(F.col("up").alias("row")).distinct()
+        before = now
+
+
 def formatted(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
     """conv_id, turn, role, position, status (call, answer, extra, orphan, cyclic or plain), n_calls, n_valid, n_answered, answers_turn and json of every row of messages(conv_id, turn, role, text)."""
     p = F.when(F.col("text").rlike(r"^\s*\{"), F.from_json("text", _PARSED, {"mode": "PERMISSIVE"}))
@@ -110,30 +121,21 @@ def formatted(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
     c = calls.select(F.col("conv_id").alias("c_conv"), F.col("id").alias("c_id"), F.col("row").alias("call_row"), F.col("turn").alias("call_turn"))
     linked = results.join(c, F.col("conv_id").eqNullSafe(F.col("c_conv")) & (F.col("id") == F.col("c_id")), "left").select("row", "turn", "nth", "call_row", "call_turn")
     linked = staged(linked, "linked")
-    # Positions: those of results that stand before their call come from the call's.
-    late = linked.where("call_turn >= turn and call_row <> row").select("row", "turn", "call_row")
-    rest, moved, cyclic = staged(late, "late"), None, linked.where("call_row = row").select("row")
-    for _ in range(DEEPEST):
-        if rest.isEmpty():
-            break
-        waiting = rest.select(F.col("row").alias("w"))
-        free = rest.join(waiting, F.col("call_row") == F.col("w"), "left_anti")
-        above = moved if moved is not None else rest.limit(0).select("row", F.array("turn").alias("position"))
-        base = rows.select(F.col("row").alias("call_row"), F.array("turn").alias("own"))
-        placed = free.join(base, "call_row").join(above.select(F.col("row").alias("call_row"), F.col("position").alias("up")), "call_row", "left")
-        placed = placed.select("row", F.concat(F.coalesce("up", "own"), F.array("turn")).alias("position"))
-        moved = staged(placed if moved is None else moved.unionByName(placed), "moved")
-        rest = staged(rest.join(moved, "row", "left_anti"), "late")
-    cyclic = cyclic.union(rest.select("row"))
+    circle = staged(_circles(linked.where("call_row <> row").select("row", F.col("call_row").alias("up"))).union(linked.where("call_row = row").select("row")), "circles")
+    # Positions: those of results that stand before their call come from the call's. path holds the turns from up (left out) to the row.
+    late = linked.where("call_turn >= turn and call_row <> row").join(circle, "row", "left_anti")
+    state = staged(late.select("row", F.col("call_row").alias("up"), F.array("turn").alias("path")), "late")
+    while not state.join(state.select(F.col("row").alias("up")), "up", "left_semi").isEmpty():
+        above = state.select(F.col("row").alias("up"), F.col("up").alias("next"), F.col("path").alias("more"))
+        state = state.join(above, "up", "left").select("row", F.coalesce("next", "up").alias("up"), F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("more", "path")).alias("path"))
+        state = staged(state, "late")
+    moved = state.join(rows.select(F.col("row").alias("up"), F.array("turn").alias("own")), "up").select("row", F.concat("own", "path").alias("position"))
     answered = linked.where("nth = 1 and call_row is not null").groupBy(F.col("call_row").alias("row")).agg(F.count("*").cast("int").alias("n_answered"))
     lines = rows.select("row", "role", "content", "calls", "answers").mapInArrow(_lines(tools), _LINE)
     out = rows.select("row", "conv_id", "turn", "role", "answers", F.coalesce(F.size("calls"), F.lit(0)).alias("n_calls"))
     out = out.withColumn("n_calls", F.greatest("n_calls", F.lit(0))).join(lines, "row").join(answered, "row", "left").join(linked.select("row", "nth", "call_row", "call_turn"), "row", "left")
-    if moved is not None:
-        out = out.join(moved, "row", "left")
-    else:
-        out = out.withColumn("position", F.lit(None).cast("array<bigint>"))
-    out = out.join(cyclic.select("row", F.lit(True).alias("circle")).distinct(), "row", "left")
+    out = out.join(moved, "row", "left")
+    out = out.join(circle.select("row", F.lit(True).alias("circle")), "row", "left")
     status = F.when(F.col("circle"), "cyclic").when(F.col("answers").isNotNull() & F.col("call_row").isNull(), "orphan").when(F.col("answers").isNotNull() & (F.col("nth") > 1), "extra").when(F.col("answers").isNotNull(), "answer").when(F.col("n_calls") > 0, "call").otherwise("plain")
     return out.select("conv_id", "turn", "role", F.coalesce("position", F.array("turn")).alias("position"), status.alias("status"), "n_calls", "n_valid", F.coalesce("n_answered", F.lit(0)).alias("n_answered"), F.col("call_turn").alias("answers_turn"), "json")
 
@@ -148,4 +150,4 @@ def with_calls(conversations: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formatted(with_calls(table(spark, sf_dir, "conversations"))).withColumn("position", F.array_join("position", "."))
+    return formatted(with_calls(table(spark, sf_dir, "conversations")))
