@@ -24,27 +24,29 @@ HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)"
 
 
 def host(url):
-    found = F.lower(F.regexp_extract(url, HOST, 1))
+    found = F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit("."))
     return F.when(F.length(found) > 0, found)
 
 
 def intervals(log: DataFrame) -> DataFrame:
     """pattern, action, listed, until (null: still) of a log of entries."""
     rank = F.when(F.col("action") == "allow", 2).when(F.col("action") == "block", 1).otherwise(0)
-    day = log.where("pattern is not null and listed is not null").groupBy(F.lower("pattern").alias("pattern"), "listed").agg(F.max_by("action", rank).alias("action"))
+    day = log.where("pattern is not null and listed is not null").groupBy(F.rtrim(F.lower("pattern"), F.lit(".")).alias("pattern"), "listed").agg(F.max_by("action", rank).alias("action"))
     until = F.lead("listed").over(Window.partitionBy("pattern").orderBy("listed"))
     return day.withColumn("until", until).where("action in ('block', 'allow')")
 
 
 def filtered(captures: DataFrame, log: DataFrame) -> DataFrame:
     """page_id, host, fetched, verdict (block, allow or pass), pattern and listed of every row of captures(page_id, url, fetched)."""
-    rows = captures.select("page_id", host(F.col("url")).alias("host"), "fetched").withColumn("row", F.monotonically_increasing_id())
+    rows = captures.select("page_id", host(F.col("url")).alias("host"), "fetched")
+    # What holds for a host on a day holds for all its captures of that day.
+    days = rows.where("host is not null and fetched is not null").select("host", "fetched").distinct()
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    each = rows.where("host is not null and fetched is not null").select("row", "page_id", "host", "fetched", F.explode(parents).alias("p"))
+    each = days.select("host", "fetched", F.explode(parents).alias("p"))
     active = each.join(intervals(log), (F.col("p") == F.col("pattern")) & (F.col("fetched") >= F.col("listed")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
-    best = active.groupBy("row").agg(F.max_by(F.struct("action", "pattern", "listed"), F.struct(F.length("pattern"), "pattern")).alias("hit"))
-    out = rows.join(best, "row", "left")
+    best = active.groupBy("host", "fetched").agg(F.max_by(F.struct("action", "pattern", "listed"), F.struct(F.length("pattern"), "pattern")).alias("hit"))
+    out = rows.join(best, ["host", "fetched"], "left")
     return out.select("page_id", "host", "fetched", F.coalesce("hit.action", F.lit("pass")).alias("verdict"), F.col("hit.pattern").alias("pattern"), F.col("hit.listed").alias("listed"))
 
 
