@@ -1,7 +1,7 @@
 """Language ID: nearest of several centroids a language, over TF-IDF vectors of hashed byte 3-grams, by cosine.
 
 Document frequencies cover every labelled training row. Centroids come from a bounded sample of them: the SAMPLE rows
-(parameter; over all languages together, PER_LANGUAGE at most of one) with the least hash of doc_id, equally many a language; spherical k-means of
+(parameter; over all languages together, PER_LANGUAGE at most of one) with the least hash of doc_id and text, equally many a language; spherical k-means of
 the sample runs on the driver. A vector has DIM entries whatever the corpus, so frequencies (DIM counts), the
 sample and the centroids have a fixed size.
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Texts, groups, table
+from waymark.llm.common import Texts, groups, small, staged, table
 
 DIM = 4096
 SAMPLE, PER_LANGUAGE = 2000, 1000
@@ -134,11 +134,16 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> Model:
     df = {int(r.slot): int(r.n) for r in train.select("text").mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
     counts = np.array([df.get(i, 0) for i in range(DIM + 1)], dtype=np.float64)
     idf = np.log((1 + counts[-1]) / (1 + counts[:-1])).astype(np.float32) + np.float32(0.05)
-    ids = train.select("doc_id", F.col("lang").alias("l"), F.xxhash64("doc_id", F.lit(11)).alias("k"))
-    ids = ids.withColumn("rn", F.row_number().over(Window.partitionBy("l").orderBy("k", "doc_id"))).where(F.col("rn") <= min(sample, PER_LANGUAGE))
-    ids = ids.withColumn("all", F.row_number().over(Window.orderBy("rn", "l"))).where(F.col("all") <= sample).select("doc_id", "l")
-    picked = train.join(F.broadcast(ids.distinct()), (train.doc_id == ids.doc_id) & train.lang.eqNullSafe(ids.l)).select("text", "lang")
-    got = picked.mapInArrow(_sampled(idf), "lang string, v binary, n long").limit(2 * sample).toPandas()
+    # Rows are ranked by a hash, each row of text once; those above a language's threshold can't be among its first and aren't ranked.
+    rows = train.select("lang", F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 40)).alias("k"))
+    most = min(sample, PER_LANGUAGE)
+    limits = rows.groupBy(F.col("lang").alias("l")).agg(F.approx_count_distinct("k").alias("n")).select("l", (F.lit(float(1 << 40)) * (4 * most + 100) / F.col("n")).alias("limit"))
+    rows = rows.join(small(staged(limits, "limits")), F.col("lang") == F.col("l")).where("k < limit").select("lang", "k").distinct()
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("k"))).where(F.col("rn") <= most)
+    rows = rows.withColumn("all", F.row_number().over(Window.orderBy("rn", "lang"))).where(F.col("all") <= sample).select(F.col("lang").alias("l"), F.col("k").alias("_k"))
+    own = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 40))
+    picked = train.withColumn("k", own).join(F.broadcast(rows), (F.col("k") == F.col("_k")) & (F.col("lang") == F.col("l"))).groupBy("lang", "k").agg(F.first("text").alias("text"))
+    got = picked.select("text", "lang").mapInArrow(_sampled(idf), "lang string, v binary, n long").toPandas()
     centroids, langs, sampled, labels = [], [], [], []
     for lang, rows in sorted(got.groupby("lang"), key=lambda x: x[0]):
         v = np.stack([np.frombuffer(x, dtype=np.float32) for x in rows.v])
