@@ -37,6 +37,21 @@ def test_pii_base_spans_are_leftmost(spark):
     assert pii.detect(documents(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "want"),
+    [
+        ("the hotel (020) 1234 5678 is full", "tel", 0), ("tel (020) 1234 5678", "tel", 1), ("(020) 1234 5678 (phone)", "tel", 1), ("the ship 10.1.2.3 sank", "ip", 0.7), ("ip 10.1.2.3", "ip", 1.0), ("10.1.2.3 is my IP", "ip", 1.0),
+        ("x" * 50 + " monkey=abcdef1234567890", "secret", 0), ("password: abcdef1234567890", "secret", 1), ("microphone (020) 1234 5678", "tel", 0), ("telefono (020) 1234 5678", "tel", 1),
+    ],
+)
+def test_pii_context_is_told_by_words(text, kind, want):
+    found = pii.spans(text)[kind]
+    if kind == "ip":
+        assert [pii.score(kind, text, *s) for s in found] == [want]
+    else:
+        assert len(found) == want
+
+
 def test_sharding_places_every_row(spark):
     data = rows() + [(1000 + i, "same text", "en", "a") for i in range(300)]
     out = sharding.sharded(documents(spark, data), 7).collect()
@@ -52,6 +67,33 @@ def test_sharding_places_every_row(spark):
     assert sharding.sharded(documents(spark, []).limit(0)).count() == 0
 
 
+def test_sharding_query(spark, tmp_path):
+    """The digest columns and the slots, by hand; leaves of few bytes change nothing but the exchange."""
+    data = rows() + [(1000 + i, "same text", "en", "a") for i in range(50)] + [(None, "Ünï", "en", "a")]
+    documents(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    out = sharding.query(spark, str(tmp_path)).collect()
+    texts = defaultdict(list)
+    for i, t, *_ in data:
+        texts[i].append((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())))
+    assert len(out) == len(data) and Counter((r.doc_id, r["size"], r.text_crc32) for r in out) == Counter((i, *x) for i, v in texts.items() for x in v)
+    assert {(r.law, r.grown_shard) for r in out} == {("bytes", None)} and {r.shard for r in out} <= set(range(40))
+    slots = defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    same = sorted((r.shard, r.slot) for r in out if r.text_crc32 == zlib.crc32(b"same text"))
+    for (s1, a), (s2, b) in zip(same, same[1:]):  # equal texts stand side by side
+        assert (s1 == s2 and b == a + 1) or (s2 == s1 + 1 and b == 0) or s2 > s1
+
+
+def test_sharding_leaves_follow_bytes(spark, monkeypatch):
+    data = [(i, f"text {i % 7} " + "x" * (i % 50), "en", "a") for i in range(2000)]
+    key = lambda rs: sorted((r.doc_id, r.shard, r.slot) for r in rs)
+    whole = key(sharding.sharded(documents(spark, data), 4).collect())
+    monkeypatch.setattr(sharding, "LEAF_BYTES", 700)
+    assert key(sharding.sharded(documents(spark, data), 4).collect()) == whole
+
+
 def test_sharding_splits_evenly_without_large_rows(spark):
     data = [(i, f"text {i % 7} " + "x" * (i % 50), "en", "a") for i in range(4000)]
     sizes = [r.b for r in sharding.sharded(documents(spark, data), 40).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
@@ -328,6 +370,93 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(documents(spark, []).limit(0), bench).count() == 0
 
 
+def plain_contaminated(docs, items):
+    """(doc_id, item_id): (covered, reparameterised), written out plainly."""
+
+    def canonical(text):
+        out = []
+        for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
+            w = re.sub(rb"^[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+|[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+$", b"", w).decode()
+            if not w:
+                continue
+            after = bool(out) and out[-1][1] == "#"
+            kind = "#" if w[0] in "0123456789" else "N" if len(w) > 1 and re.match("[A-ZÀ-Þ]", w) and not re.match("[A-Z]", w[1]) else "U" if after and w.lower() in decontaminate.UNITS.split() else ""
+            out.append((w, kind))
+        return out
+
+    def windows(toks, width):
+        for i in range(len(toks) - width + 1):
+            part = toks[i : i + width]
+            exact = sum(not k for _, k in part) < min(4, width - 1) or width < 5
+            low = lambda w: "".join(c.lower() if c.isascii() else c for c in w)
+            yield i, (exact, *(low(w) if exact or not k else k for w, k in part)), [] if exact else [(j, w) for j, (w, k) in enumerate(part) if k]
+
+    out = {}
+    for d, text in docs:
+        dt = canonical(text)
+        for q, item in items:
+            it = canonical(item)
+            width = min(8, len(it))
+            if not width:
+                continue
+            own = list(windows(it, width))
+            runs = defaultdict(list)
+            for i, key, slots in windows(dt, width):
+                for j, key2, slots2 in own:
+                    if key == key2:
+                        runs[i - j].append((j, [(j + a, x, y) for (a, x), (_, y) in zip(slots2, slots, strict=True)]))
+            chains, last = [], None
+            for o in sorted(runs):
+                if last is not None and o - last <= 3:
+                    chains[-1] += runs[o]
+                else:
+                    chains.append(list(runs[o]))
+                last = o
+            for hits in [*runs.values(), *chains]:
+                pairs = {p for _, ps in hits for p in ps}
+                # One value of the item at one place may meet several of the document only by an inconsistent run.
+                values = {(x, y) for _, x, y in pairs}
+                places = {(j, x) for j, x, _ in pairs}
+                whole = len(values) == len({x for x, _ in values}) == len({y for _, y in values}) and len(places) == len({p[0] for p in pairs})
+                count = [(j, all(x == y for _, x, y in ps)) for j, ps in hits if whole or all(x == y for _, x, y in ps)]
+                covered = len({j + k for j, _ in count for k in range(width)})
+                if count and covered >= min(13, len(it) - (2 if len(it) > 8 else 0)):
+                    different = bool({j for j, _ in count} - {j for j, same in count if same})
+                    best = (covered, not different)
+                    out[d, q] = max(out.get((d, q), best), best)
+    return out
+
+
+def test_decontamination_against_a_plain_version(spark):
+    """Slots are consistent over the whole item: times of day, names far apart, words put in, copies of which one is changed."""
+    story = "At 10:30 Alice left the old town hall and walked along the quiet river for 12 km until she met a friend near the bridge and at 11:30 Alice went back home again by the last train of the day"
+    r = np.random.default_rng(2)
+    items = [(1, ITEM), (2, story), (3, prose(8, 40)), (4, "Compute 12 + 35 + 7 + 91 + 4 + 66 + 23"), (5, "the same five words here"), (6, None), (7, "Zoe ate 3 kg of rice and Zoe ate 3 kg of beans and Zoe ate 3 kg of rice and then some more of it")]
+    docs = [
+        (1, "x " + story.replace("10:30", "12:15").replace("11:30", "12:15")), (2, "x " + story.replace("10:30", "12:15").replace("11:30", "13:15")), (3, story.replace("Alice left", "Zoe left").replace("Alice went", "Carol went")), (4, story.replace("Alice", "Zoe") + " tail"),
+        (5, story.replace("walked along", "walked slowly along").replace("Alice", "Zoe")), (6, ITEM.replace("12", "77") + " and then " + ITEM.replace("Alice", "Mia")), (7, story.replace("Alice left", "Zoe left")), (8, None), (9, "so the same five words here and there"),
+        (10, items[6][1].replace("Zoe", "Ann").replace("3", "8")), (11, items[6][1].replace("Zoe", "Ann", 1)),
+    ]
+    for k in range(60):
+        words = [w for _, t in items if t for w in t.split()]
+        base = (items[k % 7][1] or "").split()
+        for _ in range(int(r.integers(0, 6))):
+            if base:
+                base[int(r.integers(len(base)))] = words[int(r.integers(len(words)))]
+        docs.append((100 + k, " ".join(base)))
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(x.doc_id, x.item_id): (x.covered, not x.reparameterised) for x in found}
+    want = plain_contaminated(docs, items)
+    assert got == want and len(got) == len(found)
+    assert (2, 2) in got and (4, 2) in got and (5, 2) in got and (1, 2) not in {k for k, v in got.items() if not v[1]} and (3, 2) not in {k for k, v in got.items() if not v[1]}
+
+
+def test_clean_bears_null_and_repeated_ids(spark):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    data = [(None, f"a {ITEM}", "en", "a"), (None, prose(1, 30), "en", "a"), (1, ITEM, "en", "a"), (1, prose(2, 30), "en", "a"), (2, None, None, None)]
+    assert sorted(str(r.text) for r in decontaminate.clean(documents(spark, data), bench).collect()) == sorted([prose(1, 30), prose(2, 30), "None"])
+
+
 def test_decontamination_finds_copies_with_few_literals(spark):
     """Items of numbers, names or title case, and short ones, are found as they stand; with other values they aren't."""
     items = ["Compute 12 + 35 + 7 + 91 + 4 + 66 + 23 + 18 + 5 + 42", "What Is The Capital Of France And Of Spain And Of Old Prussia Before", "Anna Bertha Clara Dora Emma Frieda", "zebras eat grass", "Add 4 7 9 2", "Say how many fruits does Alice have 1 2 3 4 5 6 7 8 9 10"]
@@ -364,6 +493,8 @@ def test_url_filter_deep_entries_reach_subdomains(spark):
     log = spark.createDataFrame([(deep, "block", "2024-01-01"), ("amazonaws.com", "allow", "2024-01-01"), ("b.c.d.e.f.g.h", "block", "2024-01-01")], "pattern string, action string, listed string").withColumn("listed", F.to_date("listed"))
     df = spark.createDataFrame([(1, f"http://img.{deep}/x"), (2, f"http://{deep}"), (3, f"http://not{deep}"), (4, "http://x.y.z.a.b.c.d.e.f.g.h"), (5, "http://c.d.e.f.g.h")], "page_id long, url string").withColumn("fetched", F.lit("2024-02-01").cast("date"))
     out = {r.page_id: (r.verdict, r.pattern) for r in url_filter.filtered(df, log).collect()}
+    dots = spark.createDataFrame([(6, "http://a.b.c.d.com./x"), (7, "http://b.c.d.com/")], "page_id long, url string").withColumn("fetched", F.lit("2024-02-01").cast("date"))
+    assert {r.verdict for r in url_filter.filtered(dots, log.limit(0).union(spark.createDataFrame([("C.d.com.", "block")], "p string, a string").withColumn("d", F.lit("2024-01-01").cast("date")))).collect()} == {"block"}
     assert out == {1: ("block", deep), 2: ("block", deep), 3: ("allow", "amazonaws.com"), 4: ("block", "b.c.d.e.f.g.h"), 5: ("pass", None)}
 
 
@@ -389,6 +520,17 @@ def test_tool_calls(spark):
     assert tool_calls.formatted(df.limit(0)).count() == 0
 
 
+def test_tool_calls_in_long_chains_and_circles(spark):
+    """Results that stand before their calls, 70 deep, are placed in order; only what hangs from a circle is cyclic."""
+    both = lambda answers, calls: json.dumps({"tool_call_id": answers, "tool_calls": [{"id": calls, "name": "lookup", "arguments": {}}]})
+    data = [(1, t, "tool", both(f"c{t + 1}", f"c{t}")) for t in range(70)] + [(1, 70, "assistant", json.dumps({"tool_calls": [{"id": "c70", "name": "lookup", "arguments": {}}]}))]
+    data += [(2, 0, "tool", both("y", "x")), (2, 1, "tool", both("z", "y")), (2, 2, "tool", both("y", "z")), (2, 3, "tool", json.dumps({"tool_call_id": "x"}))]
+    out = {(r.conv_id, r.turn): r for r in tool_calls.formatted(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(out[1, t].status == "answer" and list(out[1, t].position) == list(range(70, t - 1, -1)) for t in range(70)) and out[1, 70].status == "call"
+    assert {t: out[2, t].status for t in range(4)} == {0: "answer", 1: "cyclic", 2: "cyclic", 3: "answer"}
+    assert [list(out[2, t].position) for t in range(4)] == [[1, 0], [1], [2], [3]]
+
+
 def test_schema_validation():
     schema = {"properties": {"a": {"type": "array", "items": {"type": "integer"}}, "e": {"enum": ["x", None]}, "f": {"type": "number", "maximum": 1}}, "required": ["a"]}
     assert tool_calls.valid(schema, {"a": [1, 2], "e": None, "f": 0.5})
