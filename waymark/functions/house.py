@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from waymark.functions import geo
 from waymark.functions.text import Token
 
 # Longest number asked for, widest written range, widest gap between neighbours by number and in e7, suffixes that are words.
@@ -115,24 +116,31 @@ def find(houses: list[tuple], asked: list[Asked]):
     return None
 
 
-def estimate(houses: list[tuple], number: int, shrink_of) -> tuple[int, int] | None:
-    """A position for a number between its nearest neighbours of its parity."""
-    below = above = None
-    for n, lat, lon in houses:
-        v = leading_of(n)
-        if v is None or v % 2 != number % 2:
-            continue
-        if v <= number and (below is None or v > below[0]):
-            below = (v, lat, lon)
-        if v >= number and (above is None or v < above[0]):
-            above = (v, lat, lon)
-    if below is None or above is None or above[0] - below[0] > GAP:
+def estimate(houses: list[tuple], number: int, shrink_of, without: int | None = None) -> tuple[int, int] | None:
+    """A position for a number on the line between its nearest neighbours of its parity; without: the house that is left out, by its place in the list."""
+    side = [(v, lat, lon) for i, (n, lat, lon) in enumerate(houses) if i != without and lat is not None and (v := leading_of(n)) is not None and (v - number) % 2 == 0]
+    below = max((h for h in side if h[0] <= number), key=lambda h: h[0], default=None)
+    above = min((h for h in side if h[0] >= number), key=lambda h: h[0], default=None)
+    if not below or not above or above[0] - below[0] > GAP or not number:
         return None
-    if below[0] == above[0]:
-        return below[1], below[2]
-    north, east = above[1] - below[1], above[2] - below[2]
-    if abs(north) > SPAN or abs(east) * shrink_of(below[1]) // 16 > SPAN:
+    (low, lat, lon), (high, lat2, lon2) = below, above
+    flat = truncated((lon2 - lon) * shrink_of(lat), 16)
+    if (lat2 - lat) ** 2 + flat**2 > SPAN**2:
         return None
-    step, whole = number - below[0], above[0] - below[0]
-    cut = lambda x: x * step // whole if x >= 0 else -(-x * step // whole)
-    return below[1] + cut(north), below[2] + cut(east)
+    share = lambda whole: truncated(whole * (number - low), high - low) if high > low else 0
+    return lat + share(lat2 - lat), lon + share(lon2 - lon)
+
+
+def truncated(a: int, b: int) -> int:
+    return abs(a) // b * (1 if a >= 0 else -1)
+
+
+def between(below: Column, above: Column, number: Column) -> Column:
+    """The same of two structs (v, lat_e7, lon_e7): lat_e7 and lon_e7, or null."""
+    div = lambda a, b: F.call_function("div", a, b)
+    north, east = (above[c].cast("long") - below[c] for c in ("lat_e7", "lon_e7"))
+    flat = div(east * geo.shrink(below["lat_e7"]), F.lit(16))
+    steps = F.greatest(above["v"] - below["v"], F.lit(1))
+    ok = (above["v"] - below["v"] <= GAP) & (north * north + flat * flat <= SPAN * SPAN)
+    along = lambda c, whole: (below[c] + div(whole * (number - below["v"]), steps)).cast("int")
+    return F.when(ok, F.struct(along("lat_e7", north).alias("lat_e7"), along("lon_e7", east).alias("lon_e7")))

@@ -74,7 +74,8 @@ def grown(word: Column) -> Column:
     """The word an abbreviation stands for."""
     out = word
     for short, full in TAILS.items():
-        out = F.when(word.rlike(f"^.{{{HEAD},}}{short}$"), F.concat(F.regexp_replace(word, f"{short}$", ""), F.lit(full))).otherwise(out)
+        ends = F.endswith(word, F.lit(short)) & (F.octet_length(word) >= HEAD + len(short))
+        out = F.when(ends, F.concat(F.regexp_replace(word, f"{short}$", ""), F.lit(full))).otherwise(out)
     for short, full in ABBREVIATIONS.items():
         out = F.when(word == short, F.lit(full)).otherwise(out)
     return out
@@ -84,7 +85,7 @@ def pieces(word: Column) -> Column:
     """Head and tail of a compound, or an empty array."""
     out = F.array().cast("array<string>")
     for tail in reversed(COMPOUNDS):
-        head = F.regexp_extract(word, f"^(.{{{HEAD},}}){tail}$", 1)
+        head = F.regexp_extract(word, f"^(.+){tail}$", 1)
         out = F.when(F.octet_length(head) >= HEAD, F.array(head, F.lit(tail))).otherwise(out)
     return out
 
