@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
@@ -39,6 +39,13 @@ def range_holds(written: Column, value: Column) -> Column:
     return F.coalesce(inside & ((a % 2 != b % 2) | (value % 2 == a % 2)), F.lit(False))
 
 
+def read(houses: DataFrame) -> DataFrame:
+    """houses with their number as it is matched: normal, v (its leading value), and low and high of a written range."""
+    a, b = _ends(F.col("number"))
+    wide = (a < b) & (b - a <= WIDEST)
+    return houses.withColumns({"normal": normal(F.col("number")), "v": leading(F.col("number")), "low": F.when(wide, a), "high": F.when(wide, b)})
+
+
 def match_class(written: Column, asked: Column, digits: Column) -> Column:
     """How a written number answers one asked for: AS_ASKED, IN_RANGE, PLAIN (its digits only), or null."""
     plain, own = asked.rlike("^[0-9]{1,6}$"), normal(written)

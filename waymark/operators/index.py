@@ -9,11 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions import text
+from waymark.functions import house, text
 from waymark.operators import build, search
 from waymark.sources import dump
 
-FORMAT = 1
+FORMAT = 2
 TABLES = ("documents", "words", "postings", "houses", "variants")
 
 
@@ -22,9 +22,11 @@ class IndexError_(ValueError):
 
 
 def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; where none is named, the warehouse, or on a local master a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="waymark-")
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        found = tempfile.mkdtemp(prefix="waymark-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/waymark-work"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -48,15 +50,16 @@ def build_index(places: DataFrame, path: str, languages: list[str]) -> GeoIndex:
     docs = stage(build.documents(recs, stage))
     members = stage(build.assigned(docs))
     country = recs.select("dump_order", "entry_no", F.lower("country").alias("c")).join(members, ["dump_order", "entry_no"]).groupBy("doc_id").agg(F.min("c").alias("country"))
-    whole = docs.drop("recs", "country").join(country, "doc_id", "left").withColumns({"name_words": text.distinct_words(F.col("name")), "city_words": text.distinct_words(F.col("city"))})
     posts = stage(build.postings(build.record_words(recs), members))
+    held = posts.groupBy("doc_id").agg(F.collect_list("word").alias("words"))
+    whole = docs.drop("recs", "country").join(country, "doc_id", "left").join(held, "doc_id", "left").withColumns({"words": F.coalesce("words", F.array().cast("array<string>")), "name_words": text.distinct_words(F.col("name")), "city_words": text.distinct_words(F.col("city"))})
     keys = build.streets(recs, members)
     doors = stage(build.houses(places, keys, docs))
     out = {
         "documents": whole.sort("doc_id"),
         "words": build.vocabulary(posts).sort("word"),
         "postings": posts.repartitionByRange("word").sortWithinPartitions("word", "doc_id"),
-        "houses": doors.where("doc_id is not null").select("doc_id", "number", "lat_e7", "lon_e7").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "number", "lat_e7", "lon_e7"),
+        "houses": house.read(doors.where("doc_id is not null").select("doc_id", "number", "lat_e7", "lon_e7")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "number", "lat_e7", "lon_e7"),
         "variants": build.variants(recs, members).sort("tag", "doc_id"),
     }
     rows = {}
@@ -119,20 +122,28 @@ class GeoIndex:
         """Answers of queries(query_id, text, prefix_last, lat, lon, lang, limit)."""
         return search.search(self, queries)
 
-    def search(self, query: str, prefix_last: bool = False, limit: int = 10, position: tuple[float, float] | None = None, language: str | None = None) -> list[dict]:
+    def search_rows(self, query: str, prefix_last: bool = False, limit: int = 10, position: tuple[float, float] | None = None, language: str | None = None) -> DataFrame:
         if language is not None and language not in self.languages:
             raise ValueError(f"unknown language: {language}")
         if position and not (-90 <= position[0] <= 90 and -180 <= position[1] <= 180):
             raise ValueError("position out of range")
         lat, lon = position or (None, None)
-        df = self.spark.createDataFrame([(0, query, prefix_last, lat, lon, language, limit)], search._QUERY)
-        return [r.asDict() for r in self.search_df(df).orderBy("rank").collect()]
+        return self.search_df(self.spark.createDataFrame([(0, query, prefix_last, lat, lon, language, limit)], search._QUERY))
+
+    def search(self, query: str, **how) -> list[dict]:
+        return [r.asDict() for r in self.search_rows(query, **how).orderBy("rank").collect()]
 
     def search_json(self, query: str, **how) -> str:
-        return json.dumps([{k: v for k, v in r.items() if k not in ("query_id", "agreement", "door", "band")} for r in self.search(query, **how)], ensure_ascii=False, separators=(",", ":"))
+        """The answers as one JSON text, as `search.as_json` writes them."""
+        first = search.as_json(self.search_rows(query, **how)).first()
+        return first["json"] if first else "[]"
+
+    def stats_df(self, queries: DataFrame) -> DataFrame:
+        """Counts of how each of the queries was answered."""
+        return search.stats(self, queries)
 
     def house_estimate(self, doc_id: int, number: int) -> tuple[int, int] | None:
-        from waymark.functions import geo, house
+        from waymark.functions import geo
 
         doors = [(r["number"], r["lat_e7"], r["lon_e7"]) for r in self.houses.where(F.col("doc_id") == doc_id).orderBy("number", "lat_e7", "lon_e7").collect()]
         return house.estimate(doors, number, lambda lat: geo.SHRINK[min(abs(lat) // 100_000_000, 9)])
