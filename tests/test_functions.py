@@ -103,3 +103,18 @@ def test_estimate():
     flat = lambda lat: 16
     assert house.estimate(doors, 17, flat) == (1800, 0) and house.estimate(doors, 15, flat) == (0, 0)
     assert house.estimate(doors, 18, flat) is None and house.estimate([("1", 0, 0), ("41", 10, 0)], 3, flat) is None and house.estimate([("1", 0, 0), ("5", 30000, 0)], 3, flat) is None
+
+
+def test_estimates_reach_as_the_crow_flies():
+    """Neighbours that are within reach on either axis but not together are too far apart; a house can be left out."""
+    one = lambda lat: 16
+    assert house.estimate([("1", 0, 0), ("3", 20_000, 20_000)], 2 + 1, one) == (20_000, 20_000)
+    assert house.estimate([("1", 0, 0), ("5", 26_000, 26_000)], 3, one) is None
+    assert house.estimate([("1", 0, 0), ("5", 18_000, -19_000)], 3, one) == (9_000, -9_500)
+    assert house.estimate([("1", 0, 0), ("3", 7, 7), ("5", 400, 0)], 3, one, without=1) == (200, 0)
+
+
+@pytest.mark.parametrize("given", ["жжpl", "жжжpl", "жжring", "жring", "abring", "abcring", "éstr", "ééstr", "aestr"])
+def test_heads_count_bytes_on_both_sides(spark, given):
+    (row,) = spark.createDataFrame([(given,)], "t string").select(text.distinct_words(F.col("t")).alias("w")).collect()
+    assert list(row.w) == [t.word for t in text.tokenize(given)]

@@ -1,4 +1,4 @@
-"""python -m waymark build DUMP INDEX [--languages de,en] | search INDEX QUERY [--limit N] [--at LAT,LON] [--language TAG] | evaluate INDEX QUERIES [--ranks OUT]"""
+"""python -m waymark build DUMP INDEX [--languages de,en] [--cache DIR] | search INDEX QUERY [--limit N] [--at LAT,LON] [--language TAG] | evaluate INDEX QUERIES [--ranks OUT]"""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ def main(argv: list[str] | None = None) -> None:
     build.add_argument("dump")
     build.add_argument("index")
     build.add_argument("--languages", default="de")
+    build.add_argument("--cache")
     find = sub.add_parser("search")
     find.add_argument("index")
     find.add_argument("query")
@@ -30,7 +31,7 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("waymark").getOrCreate()
     if args.what == "build":
-        print(build_dump(spark, args.dump, args.index, args.languages).info())
+        print(build_dump(spark, args.dump, args.index, args.languages, args.cache).info())
     elif args.what == "search":
         at = tuple(map(float, args.at.split(","))) if args.at else None
         # A query that ends in a blank, comma or semicolon is finished; its last word isn't read as a beginning.

@@ -72,10 +72,15 @@ def build_index(places: DataFrame, path: str, languages: list[str]) -> GeoIndex:
     return GeoIndex.open(spark, path)
 
 
-def build_dump(spark: SparkSession, source: str, path: str, languages: str = "de") -> GeoIndex:
-    """Builds an index of a dump of JSON lines."""
+def build_dump(spark: SparkSession, source: str, path: str, languages: str = "de", cache: str | None = None) -> GeoIndex:
+    """Builds an index of a dump of JSON lines. cache: a folder that keeps the places read, for builds to come of the same files and languages."""
     tags = dump.languages(languages)
-    places = stager(spark)(dump.places(dump.read_lines(spark, source), tags))
+    if cache is None:
+        return build_index(stager(spark)(dump.places(dump.read_lines(spark, source), tags)), path, tags)
+    stamp = dump.stamp(spark, source, tags)
+    places = dump.staged(spark, cache, stamp)
+    if places is None:
+        places = dump.stage(dump.places(dump.read_lines(spark, source), tags), cache, stamp)
     return build_index(places, path, tags)
 
 

@@ -33,6 +33,8 @@ def languages(text: str) -> list[str]:
         tag = tag.lower()
         if len(tag.encode()) > TAG:
             raise ValueError(f"not a language tag: {tag}")
+        if tag == "all":
+            raise ValueError("languages are named one by one")
         if tag not in out:
             out.append(tag)
     if not out or len(out) > MOST_LANGUAGES:
@@ -108,6 +110,14 @@ def census(rows: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("places"), F.count_if(F.col("house").isNotNull()).alias("addresses"), F.sum(F.size("texts")).cast("long").alias("texts"), F.sum("texts_dropped").cast("long").alias("dropped"), F.count_if(~F.col("has_point")).alias("pointless"))
 
 
+def stamp(spark: SparkSession, path: str, tags: list[str]) -> dict:
+    """What tells a dump from another: its files with their sizes and times, and the languages read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return {"files": sorted([f.getPath().toString(), f.getLen(), f.getModificationTime()] for f in found), "languages": tags}
+
+
 def stage(rows: DataFrame, path: str, stamp: dict) -> DataFrame:
     """Writes places with the stamp of what they came from, the stamp last."""
     spark = rows.sparkSession
