@@ -73,7 +73,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 with c as (
-  select page_id, nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)', 1)), '') as host,
+  select page_id, nullif(rtrim(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)', 1)), '.'), '') as host,
          (date '2024-01-01' + ((page_id * 37) % 365)::int)::date as fetched, row_number() over () as rn from pages
 ), h as (select distinct host as h from c where host is not null),
 d as (select h, (date '2024-01-01' + ((length(h) * 11) % 200)::int)::date as d, length(h) % 3 as k from h),
@@ -88,7 +88,7 @@ log as (
 ), i as (select *, lead(listed) over (partition by pattern order by listed) as until from u),
 a as (
   select c.rn, i.action, i.pattern, i.listed, row_number() over (partition by c.rn order by length(i.pattern) desc, i.pattern desc) as best
-  from c join i on (c.host = i.pattern or (ends_with(c.host, '.' || i.pattern) and len(string_split(i.pattern, '.')) <= 4))
+  from c join i on (c.host = i.pattern or ends_with(c.host, '.' || i.pattern))
    and c.fetched >= i.listed and (i.until is null or c.fetched < i.until) and i.action in ('block', 'allow')
 )
 select c.page_id, c.host, c.fetched, coalesce(a.action, 'pass') as verdict, a.pattern, a.listed
