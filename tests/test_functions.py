@@ -118,3 +118,10 @@ def test_estimates_reach_as_the_crow_flies():
 def test_heads_count_bytes_on_both_sides(spark, given):
     (row,) = spark.createDataFrame([(given,)], "t string").select(text.distinct_words(F.col("t")).alias("w")).collect()
     assert list(row.w) == [t.word for t in text.tokenize(given)]
+
+
+def test_bytes_are_capped_on_both_sides(spark):
+    long = " ".join("w" * 60 + chr(97 + i) for i in range(26)) + " Straßenende"
+    (row,) = spark.createDataFrame([(long,)], "t string").select(text.distinct_words(F.col("t")).alias("w"), text.dropped(F.col("t")).alias("n")).collect()
+    assert list(row.w) == [t.word for t in text.tokenize(long)] and len(row.w) == 16 and row.n == 11
+    assert spark.createDataFrame([("a b c",)], "t string").select(text.dropped(F.col("t")).alias("n")).first().n == 0

@@ -350,7 +350,30 @@ def test_evaluation(spark, index, tmp_path):
     lines = ["category\tquery\tprefix\tlimit\texpect_name\texpect_city\texpect_number", "# comment", "street.a\tAhornallee Tannfeld \t0\t1\tAhornallee\tTannfeld|Firfield\t", "street.b\tKirchweg \t0\t1\tKirchweg\tNeudorf\t", "house\tAhornallee 9 \t0\t1\tAhorn-Allee|Ahornallee\t\t9", "absent\tHinterland 1 \t0\t1\tHinterland\tNix\t"]
     path = tmp_path / "q.tsv"
     path.write_text("\n".join(lines) + "\n")
-    ranked, report = evaluate.evaluate(index, evaluate.read_queries(spark, str(path)))
+    ranked, report, missed = evaluate.evaluate(index, evaluate.read_queries(spark, str(path)))
     assert {r.category: (r.rank, r.absent) for r in ranked.collect()} == {"street.a": (1, False), "street.b": (2, False), "house": (1, False), "absent": (0, True)}
     total = report.where("level = 'all'").first()
     assert (total.n, total.absent, total.passed, total.top1, total.top3) == (4, 1, 2, 2, 3)
+    shown = {r.category: r for r in missed.collect()}
+    assert set(shown) == {"street.b", "absent"} and shown["absent"].absent and shown["street.b"].expected == "name Kirchweg town Neudorf"
+    assert shown["street.b"].answers[0] == "1. Kirchweg, 14999 Altdorf (kind 5)" and shown["absent"].answers == []
+
+
+@pytest.mark.parametrize("line", ["street\tx\t2\t1\tn\t\t", "street\t\t0\t1\tn\t\t", "\tx\t0\t1\tn\t\t", "street\tx\t0\t0\tn\t\t", "street\tx\t0\t1\t\t\t", "street\tx\t0\t1\tn\t1.0\t", "street\tx\t0\tnan\tn\t\t"])
+def test_query_files_are_read_strictly(spark, tmp_path, line):
+    path = tmp_path / "q.tsv"
+    path.write_text("category\tquery\tprefix\tlimit\texpect_name\tlat\tlon\n" + line + "\n")
+    with pytest.raises(Exception, match="can't be read"):
+        evaluate.read_queries(spark, str(path)).collect()
+    path.write_text("category\tprefix\nx\t1\n")
+    with pytest.raises(ValueError):
+        evaluate.read_queries(spark, str(path))
+
+
+def test_doors_and_lines(spark):
+    df = spark.createDataFrame([("Kirchweg", "21", "Kirchweg 21|x", True), ("Kirchweg", "21", "Kirchweg 22", False), ("Kirchweg", None, "Kirchweg", False)], "n string, h string, w string, want boolean")
+    assert all(r.got == r.want for r in df.select(evaluate.door(F.col("n"), F.col("h"), F.col("w")).alias("got"), "want").collect())
+    lines = spark.createDataFrame([(x, i) for i, x in enumerate([*(x for x in LINES if x), "{broken"])], "line string, dump_order long")
+    assert dump.line_census(lines).first().asDict() == {"lines": 9, "invalid": 2, "other": 1, "entries": 6}
+    rows = dump.places(lines.where("line <> '{broken' and line <> '{\"type\":\"Place\"}'"), ["de"])
+    assert json.loads(dump.as_json(rows).first()["json"])["name"] == "Ahornallee"

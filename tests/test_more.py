@@ -38,6 +38,17 @@ def test_sampling(spark):
     assert all(r.got == r.want for r in numbers.select(sampling.plain_number(F.col("n")).alias("got"), "want").collect())
 
 
+def test_queries_by_kind(spark):
+    cities = [(52.5, 13.4), (48.1, 11.6)]
+    rows = spark.createDataFrame([(1, "Musterstadt", "Anderstadt (Nord)", 48.2, 11.5, "small"), (2, "Au", "Ober Au", 52.4, 13.3, "large")], "id long, name string, city string, lat double, lon double, size string")
+    got = {(r.id, r.category): r for r in sampling.town_queries(rows, cities).collect()}
+    assert set(got) == {(1, "town.small.far"), (1, "town.small.near"), (1, "town.typing.far"), (1, "town.typo.far"), (2, "town.large.far"), (2, "town.large.near")}
+    assert got[1, "town.typing.far"].query == "Musterst" and sorted(got[1, "town.typo.far"].query) == sorted("Musterstadt")
+    assert (got[1, "town.small.far"].lat, got[2, "town.large.far"].lat) == (52.5, 48.1) and abs(got[1, "town.small.near"].lat - 48.2) < 0.1
+    assert {r.category: r.query for r in sampling.district_queries(rows, cities).where("id = 1").collect()} == {"district.city.far": "Musterstadt Anderstadt", "district.alone.near": "Musterstadt"}
+    assert {r.category for r in sampling.street_queries(rows, cities).where("id = 1").collect()} == {"street.city.far", "street.alone.near", "street.typing.far"}
+
+
 def test_town_sizes(spark):
     towns = spark.range(400).select(F.concat(F.lit("t"), "id").alias("name"), (F.col("id") / 10.0).alias("lat"), F.lit(0.0).alias("lon"), (F.col("id") * 10).cast("int").alias("importance"))
     n = {r["size"]: r["count"] for r in sampling.town_sizes(towns.union(towns)).groupBy("size").count().collect()}

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from waymark.functions import fold
 
-# Abbreviations of whole words, of compounds' ends, and the ends that compounds are split at.
+# Abbreviations of whole words, of compounds' ends, and the ends that compounds are split at; words and folded bytes that a text has at most.
 ABBREVIATIONS = {"str": "strasse", "st": "sankt", "pl": "platz"}
 TAILS = {"str": "strasse", "pl": "platz"}
 COMPOUNDS = ("strasse", "weg", "allee", "platz", "gasse", "ring", "damm", "ufer", "chaussee", "steig")
 HEAD = 3
-MOST_TOKENS = 48
+MOST_TOKENS, MOST_BYTES = 48, 1024
 
 WORDS_TYPE = "array<struct<word:string,grp:int,part:boolean,joint:string>>"
 _OTHER = "\u0001"  # stands for a separator that is neither blank, dash nor slash
@@ -122,7 +122,26 @@ def words(col: Column) -> Column:
     def first(tokens: Column) -> Column:
         return _once(F.transform(tokens, lambda y: y["word"]), lambda ws: F.filter(tokens, lambda x, i: F.array_position(ws, x["word"]) == i + 1))
 
-    return F.slice(_once(both, first), 1, MOST_TOKENS)
+    return _once(both, lambda x: F.slice(first(x), 1, F.when(F.octet_length(col) > MOST_BYTES, _fitting(first(x))).otherwise(MOST_TOKENS)))
+
+
+def _fitting(tokens: Column) -> Column:
+    """How many of the tokens stand before the cap on words, or before the word that oversteps the cap on bytes."""
+
+    def step(acc: Column, t: Column) -> Column:
+        used = acc["used"] + F.when(t["part"], 0).otherwise(F.octet_length(t["word"]))
+        over = acc["over"] | (used > MOST_BYTES)
+        return F.struct(used.alias("used"), (acc["n"] + F.when(over, 0).otherwise(1)).alias("n"), over.alias("over"))
+
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(False).alias("over"))
+    return F.least(F.aggregate(tokens, start, step, lambda acc: acc["n"]), F.lit(MOST_TOKENS))
+
+
+def dropped(col: Column) -> Column:
+    """How many words of a text the caps leave out."""
+    text = F.coalesce(col, F.lit(""))
+    every = F.concat(_reading(text, True), F.when(special(text), _reading(text, False)).otherwise(F.array().cast(WORDS_TYPE)))
+    return F.size(F.array_distinct(F.transform(every, lambda x: x["word"]))) - F.size(words(col))
 
 
 def distinct_words(col: Column) -> Column:
@@ -174,10 +193,15 @@ def grown_word(word: str) -> str:
 def tokenize(text: str) -> list[Token]:
     out: list[Token] = []
     seen: set[str] = set()
+    used = 0
 
     def add(word, grp, part, joint):
-        if word and word not in seen and len(out) < MOST_TOKENS:
-            seen.add(word)
+        nonlocal used
+        if not word or word in seen:
+            return
+        seen.add(word)
+        used += 0 if part else len(word.encode())
+        if len(out) < MOST_TOKENS and used <= MOST_BYTES:
             out.append(Token(word, grp, part, joint))
 
     twice = any(c in "äöüÄÖÜ" for c in text) or any(text[i] in "aouAOU" and text[i + 1] == "̈" for i in range(len(text) - 1))

@@ -6,7 +6,7 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import house, text
@@ -50,7 +50,8 @@ def build_index(places: DataFrame, path: str, languages: list[str]) -> GeoIndex:
     docs = stage(build.documents(recs, stage))
     members = stage(build.assigned(docs))
     country = recs.select("dump_order", "entry_no", F.lower("country").alias("c")).join(members, ["dump_order", "entry_no"]).groupBy("doc_id").agg(F.min("c").alias("country"))
-    posts = stage(build.postings(build.record_words(recs), members))
+    met = Observation()
+    posts = stage(build.postings(build.record_words(recs).observe(met, F.count(F.lit(1)).alias("terms")), members))
     held = posts.groupBy("doc_id").agg(F.collect_list("word").alias("words"))
     whole = docs.drop("recs", "country").join(country, "doc_id", "left").join(held, "doc_id", "left").withColumns({"words": F.coalesce("words", F.array().cast("array<string>")), "name_words": text.distinct_words(F.col("name")), "city_words": text.distinct_words(F.col("city"))})
     keys = build.streets(recs, members)
@@ -67,7 +68,7 @@ def build_index(places: DataFrame, path: str, languages: list[str]) -> GeoIndex:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         rows[name] = spark.read.parquet(f"{path}/{name}").count()
     counters = build.house_counters(doors).first().asDict()
-    manifest = {"format": FORMAT, "languages": languages, "rows": rows, "houses": counters}
+    manifest = {"format": FORMAT, "languages": languages, "rows": rows, "houses": counters, "terms": met.get["terms"]}
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return GeoIndex.open(spark, path)
 
@@ -109,7 +110,7 @@ class GeoIndex:
         return self.manifest["languages"]
 
     def info(self) -> dict:
-        return {**self.manifest["rows"], "format": self.manifest["format"], "languages": self.languages}
+        return {**self.manifest["rows"], "terms": self.manifest["terms"], "format": self.manifest["format"], "languages": self.languages}
 
     def countries(self) -> list[tuple[str, list[list[str]]]]:
         """Country words with the spellings of the country, in words; the world has a few hundred."""

@@ -9,6 +9,7 @@ from waymark.functions import geo
 
 # Towns counted as large at least, share of a last word typed, letters from which it is cut, km of a far viewpoint.
 LARGE, TYPED, CUT_FROM, FAR_KM = 45, 0.6, 6, 150.0
+RADIUS = {"address": 150.0, "street": 3000.0, "town": 8000.0, "district": 3000.0}  # metres around the expected place
 
 
 def sample(rows: DataFrame, key: str, k: int, seed: int = 12) -> DataFrame:
@@ -75,6 +76,54 @@ def km(lat: Column, lon: Column, lat2: Column, lon2: Column) -> Column:
     return geo.metres(geo.e7(lat), geo.e7(lon), geo.e7(lat2), geo.e7(lon2)) / 1000.0
 
 
+def far_viewpoint(lat: Column, lon: Column, seed: Column, cities: list[tuple[float, float]]) -> Column:
+    """One of the cities that are FAR_KM away at least, by the seed: struct lat, lon, or null."""
+    spots = F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in cities])
+    away = F.filter(spots, lambda c: km(lat, lon, c["lat"], c["lon"]) >= FAR_KM)
+    return F.when(F.size(away) > 0, F.element_at(away, (F.pmod(F.xxhash64(seed, F.lit(7)), F.size(away)) + 1).cast("int")))
+
+
+def _asked(rows: DataFrame, kinds: dict, name: str, radius: float, cities, more: dict | None = None) -> DataFrame:
+    """rows(id, lat, lon) as queries of some kinds: category to (query, km of a near viewpoint or None for a far one); null queries and far ones without a city fall out."""
+    seed = F.col("id").cast("string")
+    far = far_viewpoint(F.col("lat"), F.col("lon"), seed, cities)
+
+    def one(category, query, reach):
+        at = far if reach is None else F.struct(*[c.alias(k) for c, k in zip(viewpoint(F.col("lat"), F.col("lon"), F.concat(seed, F.lit(category)), reach), ("lat", "lon"), strict=True)])
+        return F.struct((category if isinstance(category, Column) else F.lit(category)).alias("category"), query.alias("query"), at.alias("at"))
+
+    each = rows.select("*", F.explode(F.array(*[one(k, q, r) for k, (q, r) in kinds.items()])).alias("q")).where("q.query is not null and q.at is not null")
+    extra = [c.alias(k) for k, c in (more or {}).items()]
+    return each.select("id", "q.category", "q.query", F.lit(1).alias("prefix"), F.col("q.at.lat").alias("lat"), F.col("q.at.lon").alias("lon"), F.col(name).alias("expect_name"), *extra, F.col("lat").alias("expect_lat"), F.col("lon").alias("expect_lon"), F.lit(radius).alias("radius_m"))
+
+
+def _cut(col: Column) -> Column:
+    """A word still being typed: its first 70 % of letters, four at least, if it is one word of six or more."""
+    kept = F.greatest(F.lit(4), F.ceil(F.length(col) * 0.7)).cast("int")
+    return F.when((F.length(col) >= CUT_FROM) & ~F.contains(col, F.lit(" ")), F.substr(col, F.lit(1), kept))
+
+
+def town_queries(rows: DataFrame, cities: list[tuple[float, float]]) -> DataFrame:
+    """rows(id, name, lat, lon, size) as queries for towns: from afar and nearby, still typing, and with two letters swapped."""
+    n = F.col("name")
+    wrong = F.when(~F.contains(n, F.lit(" ")) & (F.length(n) >= 4), swapped(n, F.col("id").cast("string")))
+    out = _asked(rows, {"town.far": (n, None), "town.near": (n, 5.0), "town.typing.far": (_cut(n), None), "town.typo.far": (wrong, None)}, "name", RADIUS["town"], cities, {"size": F.col("size")})
+    plain = F.col("category").isin("town.far", "town.near")
+    return out.withColumn("category", F.when(plain, F.concat(F.lit("town."), "size", F.substring("category", 5, 9))).otherwise(F.col("category"))).drop("size")
+
+
+def district_queries(rows: DataFrame, cities: list[tuple[float, float]]) -> DataFrame:
+    """rows(id, name, city, lat, lon) as queries for districts: with the town from afar, alone nearby."""
+    return _asked(rows, {"district.city.far": (F.concat_ws(" ", "name", spoken_town(F.col("city"))), None), "district.alone.near": (F.col("name"), 3.0)}, "name", RADIUS["district"], cities)
+
+
+def street_queries(rows: DataFrame, cities: list[tuple[float, float]]) -> DataFrame:
+    """rows(id, name, city, lat, lon) as queries for streets: with the town from afar, alone nearby, with a town still being typed."""
+    full = F.concat_ws(" ", "name", spoken_town(F.col("city")))
+    typed = F.when(still_typing(full) != full, still_typing(full))
+    return _asked(rows, {"street.city.far": (full, None), "street.alone.near": (F.col("name"), 0.5), "street.typing.far": (typed, None)}, "name", RADIUS["street"], cities)
+
+
 def address_queries(rows: DataFrame) -> DataFrame:
     """rows(id, street, number, postcode, city, lat, lon) as queries: spellings of one address, with what each should find."""
     full = F.concat_ws(" ", F.col("street"), F.col("number"))

@@ -110,6 +110,20 @@ def census(rows: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("places"), F.count_if(F.col("house").isNotNull()).alias("addresses"), F.sum(F.size("texts")).cast("long").alias("texts"), F.sum("texts_dropped").cast("long").alias("dropped"), F.count_if(~F.col("has_point")).alias("pointless"))
 
 
+def line_census(lines: DataFrame) -> DataFrame:
+    """One row: lines, those that aren't JSON or have no content, those of other types than places, and the entries of places."""
+    j = F.from_json("line", LINE + ", broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    rows = lines.select(j.alias("j"))
+    place = F.coalesce(F.col("j.type") == "Place", F.lit(False))
+    bad = F.col("j.broken").isNotNull() | place & F.col("j.content").isNull()
+    return rows.agg(F.count("*").alias("lines"), F.count_if(bad).alias("invalid"), F.count_if(~bad & ~place).alias("other"), F.coalesce(F.sum(F.when(~bad & place, F.size("j.content"))), F.lit(0)).cast("long").alias("entries"))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """json: each place as one line, nulls left out."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))
+
+
 def stamp(spark: SparkSession, path: str, tags: list[str]) -> dict:
     """What tells a dump from another: its files with their sizes and times, and the languages read."""
     hadoop = spark._jvm.org.apache.hadoop.fs
