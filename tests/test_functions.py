@@ -125,3 +125,13 @@ def test_bytes_are_capped_on_both_sides(spark):
     (row,) = spark.createDataFrame([(long,)], "t string").select(text.distinct_words(F.col("t")).alias("w"), text.dropped(F.col("t")).alias("n")).collect()
     assert list(row.w) == [t.word for t in text.tokenize(long)] and len(row.w) == 16 and row.n == 11
     assert spark.createDataFrame([("a b c",)], "t string").select(text.dropped(F.col("t")).alias("n")).first().n == 0
+
+
+def test_numbers_that_were_read_match_as_written_ones(spark):
+    numbers = ["1", "12a", "1-5", "2 - 8", "3/5", "5-1", "1-200", "7a-9b", "x", "", None, "1234567", "10–14", "2-5"]
+    asked = [("1", 0), ("3", 0), ("12a", 2), ("12", 0), ("4", 0), ("12b", 2), ("7", 0), ("1-5", 1)]
+    df = spark.createDataFrame([(n, a, d) for n in numbers for a, d in asked], "number string, asked string, digits int")
+    one = house.class_between(F.col("normal"), F.col("low"), F.col("high"), F.col("asked"), F.col("digits"))
+    rows = house.read(df).select("number", "asked", one.alias("got"), house.match_class(F.col("number"), F.col("asked"), F.col("digits")).alias("want"), F.col("v").alias("v"), house.leading(F.col("number")).alias("leading")).collect()
+    assert all(r.got == r.want and r.v == r.leading for r in rows), [r for r in rows if r.got != r.want]
+    assert {(r.number, r.asked): r.got for r in rows if r.got is not None}.items() >= {("1", "1"): 0, ("1-5", "3"): 1, ("2 - 8", "4"): 1, ("2-5", "3"): 1, ("10–14", "12"): 1, ("12a", "12a"): 0}.items()

@@ -15,6 +15,7 @@ from waymark.functions.text import Token
 LONGEST, WIDEST, GAP, SPAN = 32, 100, 20, 27_000
 SUFFIX = r"^([a-z]|bis|ter|quater)$"
 AS_ASKED, IN_RANGE, PLAIN = 0, 1, 2
+_RANGE = "^([0-9]{1,6})[a-z]?-([0-9]{1,6})[a-z]?$"
 
 
 def normal(written: Column) -> Column:
@@ -28,8 +29,7 @@ def leading(written: Column) -> Column:
 
 
 def _ends(written: Column) -> tuple[Column, Column]:
-    pattern = "^([0-9]{1,6})[a-z]?-([0-9]{1,6})[a-z]?$"
-    return tuple(F.when(~F.contains(written, F.lit("/")), F.regexp_extract(normal(written), pattern, i)).try_cast("int") for i in (1, 2))
+    return tuple(F.when(~F.contains(written, F.lit("/")), F.regexp_extract(normal(written), _RANGE, i)).try_cast("int") for i in (1, 2))
 
 
 def range_holds(written: Column, value: Column) -> Column:
@@ -40,18 +40,33 @@ def range_holds(written: Column, value: Column) -> Column:
 
 
 def read(houses: DataFrame) -> DataFrame:
-    """houses with their number as it is matched: normal, v (its leading value), and low and high of a written range."""
-    a, b = _ends(F.col("number"))
-    wide = (a < b) & (b - a <= WIDEST)
-    return houses.withColumns({"normal": normal(F.col("number")), "v": leading(F.col("number")), "low": F.when(wide, a), "high": F.when(wide, b)})
+    """houses with their number as it is matched: normal, v (its leading value), and low and high of a written range. Step by step, so that each is computed once."""
+    out = houses.withColumn("normal", normal(F.col("number")))
+    ranged = F.contains("normal", F.lit("-")) & ~F.contains("number", F.lit("/"))
+    ends = F.split(F.when(ranged & F.col("normal").rlike(_RANGE), F.regexp_replace("normal", "[a-z]", "")), "-")
+    out = out.withColumns({"v": F.regexp_extract("normal", "^([0-9]{1,6})(?![0-9])", 1).try_cast("int"), "_ends": ends})
+    out = out.withColumns({"low": F.col("_ends")[0].cast("int"), "high": F.col("_ends")[1].cast("int")}).drop("_ends")
+    wide = (F.col("low") < F.col("high")) & (F.col("high") - F.col("low") <= WIDEST)
+    return out.withColumn("low", F.when(wide, F.col("low"))).withColumn("high", F.when(F.col("low").isNotNull(), F.col("high")))
+
+
+def holds(low: Column, high: Column, value: Column) -> Column:
+    """Whether a range as `read` gives it holds a value."""
+    return F.coalesce(value.between(low, high) & ((low % 2 != high % 2) | (value % 2 == low % 2)), F.lit(False))
 
 
 def match_class(written: Column, asked: Column, digits: Column) -> Column:
     """How a written number answers one asked for: AS_ASKED, IN_RANGE, PLAIN (its digits only), or null."""
-    plain, own = asked.rlike("^[0-9]{1,6}$"), normal(written)
-    # Only a number with a dash is put to the patterns of ranges.
-    ranged = F.contains(own, F.lit("-")) & plain & range_holds(written, F.when(plain, asked).try_cast("int"))
-    return F.when(own == asked, AS_ASKED).when(ranged, IN_RANGE).when(F.coalesce(digits > 0, F.lit(False)) & (own == F.substring(asked, F.lit(1), digits)), PLAIN)
+    a, b = _ends(written)
+    wide = (a < b) & (b - a <= WIDEST)
+    return class_between(normal(written), F.when(wide, a), F.when(wide, b), asked, digits)
+
+
+def class_between(own: Column, low: Column, high: Column, asked: Column, digits: Column) -> Column:
+    """The same of a number that was read: normal, and low and high of its range or null."""
+    value = F.when(asked.rlike("^[0-9]{1,6}$"), asked).try_cast("int")
+    plain = F.coalesce(digits > 0, F.lit(False)) & (own == F.substring(asked, F.lit(1), digits))
+    return F.when(own == asked, AS_ASKED).when(holds(low, high, value), IN_RANGE).when(plain, PLAIN)
 
 
 class Asked(NamedTuple):

@@ -330,16 +330,17 @@ select house_id, number, asked, class from m where class is not null""")
 def house_number_match(spark, d):
     """How written numbers answer each of some numbers asked for; those that don't are left out."""
     asked = F.array(*[F.struct(F.lit(x).alias("t"), F.lit(0 if x.isdigit() else len(x) - len(x.lstrip("0123456789"))).alias("n")) for x in _NUMBERS])
-    rows = house_src(spark, d).select("house_id", "number", F.explode(asked).alias("a"))
-    return rows.select("house_id", "number", F.col("a.t").alias("asked"), house.match_class(F.col("number"), F.col("a.t"), F.col("a.n")).alias("class")).where("class is not null")
+    rows = house.read(house_src(spark, d).select("house_id", "number")).select("house_id", "number", "normal", "low", "high", F.explode(asked).alias("a"))
+    found = house.class_between(F.col("normal"), F.col("low"), F.col("high"), F.col("a.t"), F.col("a.n"))
+    return rows.select("house_id", "number", F.col("a.t").alias("asked"), found.alias("class")).where("class is not null")
 
 
 @_query(f"""with {HOUSE_SQL}, r as (select house_id, number, string_split(number, '-') as e from house)
 select house_id, v, case when len(e) = 2 then e[1]::int <= v and v <= e[2]::int and (e[1]::int % 2 <> e[2]::int % 2 or e[1]::int % 2 = v % 2) else false end as holds, regexp_extract(number, '^[0-9]+')::int as leading from r, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9]::int[]) as x(v)""")
 def range_holds(spark, d):
     """Whether each written number is a range that holds 1 to 9, and its leading value."""
-    rows = house_src(spark, d).select("house_id", "number", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("v"))
-    return rows.select("house_id", "v", house.range_holds(F.col("number"), F.col("v")).alias("holds"), house.leading(F.col("number")).alias("leading"))
+    rows = house.read(house_src(spark, d).select("house_id", "number")).select("house_id", F.col("v").alias("leading"), "low", "high", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("v"))
+    return rows.select("house_id", "v", house.holds(F.col("low"), F.col("high"), F.col("v")).alias("holds"), "leading")
 
 
 _SIDES_SQL = f"""with {HOUSE_SQL}, h as (select house_id, city || '/' || street as doc_id, number, regexp_extract(number, '^[0-9]+')::int as v, lat_e7::bigint as lat_e7, lon_e7::bigint as lon_e7, row_number() over (order by number, lat_e7, lon_e7) as place from house where lat_e7 is not null)"""
