@@ -44,7 +44,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/waymark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what `staged` wrote for df, which nothing reads any more."""
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, rows: int = 1 << 17) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import staged
+from waymark.llm.common import dropped, staged
 
 
 def components(edges: DataFrame, a: str, b: str, most: int = 40) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame, a: str, b: str, most: int = 40) -> DataFrame:
         # Small star: smaller neighbours of each node go to the least of them.
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.least("a", "m").alias("u"), F.greatest("a", "m").alias("v")).union(low.select(F.col("m").alias("u"), F.col("b").alias("v")))
-        e = staged(small.where("u < v").distinct(), "edges")
+        old, e = e, staged(small.where("u < v").distinct(), "edges")
+        dropped(old)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("s")).first()
         if now == before:
             break

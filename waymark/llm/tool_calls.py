@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import staged, table
+from waymark.llm.common import dropped, staged, table
 
 _PARSED = "content string, tool_calls array<struct<id:string,name:string,arguments:string>>, tool_call_id string"
 
@@ -95,7 +95,8 @@ def _circles(links: DataFrame) -> DataFrame:
     state, before = staged(links, "links"), None
     while True:
         held = state.select(F.col("row").alias("up"), F.col("up").alias("next"))
-        state = staged(state.join(held, "up").select("row", F.col("next").alias("up")), "links")
+        old, state = state, staged(state.join(held, "up").select("row", F.col("next").alias("up")), "links")
+        dropped(old)
         now = state.agg(F.count("*"), F.countDistinct("up")).first()
         if now[0] == 0 or now == before:
             return state.select(F.col("up").alias("row")).distinct()
@@ -127,8 +128,9 @@ def formatted(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
     state = staged(late.select("row", F.col("call_row").alias("up"), F.array("turn").alias("path")), "late")
     while not state.join(state.select(F.col("row").alias("up")), "up", "left_semi").isEmpty():
         above = state.select(F.col("row").alias("up"), F.col("up").alias("next"), F.col("path").alias("more"))
-        state = state.join(above, "up", "left").select("row", F.coalesce("next", "up").alias("up"), F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("more", "path")).alias("path"))
-        state = staged(state, "late")
+        more = state.join(above, "up", "left").select("row", F.coalesce("next", "up").alias("up"), F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("more", "path")).alias("path"))
+        old, state = state, staged(more, "late")
+        dropped(old)
     moved = state.join(rows.select(F.col("row").alias("up"), F.array("turn").alias("own")), "up").select("row", F.concat("own", "path").alias("position"))
     answered = linked.where("nth = 1 and call_row is not null").groupBy(F.col("call_row").alias("row")).agg(F.count("*").cast("int").alias("n_answered"))
     lines = rows.select("row", "role", "content", "calls", "answers").mapInArrow(_lines(tools), _LINE)
