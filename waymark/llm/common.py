@@ -77,6 +77,16 @@ def tidy() -> None:
         trim(0)
 
 
+def tidied(run):
+    """A function over batches that gives back what the worker has freed, when it is through."""
+
+    def whole(batches):
+        yield from run(batches)
+        tidy()
+
+    return whole
+
+
 def bit_table(rows: DataFrame, col: str, bits: int) -> np.ndarray:
     """2**bits bits, eight a byte, lowest first: those whose number stands in the column are set. Bits are gathered on the executors, in pieces of 4 KB."""
     pieces = rows.where(F.col(col).isNotNull()).groupBy(F.shiftright(F.col(col), 15).alias("piece")).agg(F.bitmap_construct_agg(F.col(col).bitwiseAND((1 << 15) - 1)).alias("b"))

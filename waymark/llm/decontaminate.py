@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Texts, bit_table, groups, mix, powers, small, span_hashes, staged, table
+from waymark.llm.common import Texts, bit_table, groups, mix, powers, small, span_hashes, staged, table, tidied
 
 WIDTH, LITERAL, COVERED, EDGE, LEAST, SHIFT = 8, 4, 13, 2, 5, 3
 TABLE_BITS = 26
@@ -149,7 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # WIDTH of them at most
     packed = bit_table(items.select(F.shiftrightunsigned("h", 64 - TABLE_BITS).alias("s")), "s", TABLE_BITS)
     shared = docs.sparkSession.sparkContext.broadcast((widths, packed))
-    found = docs.select("doc_id", "text").mapInArrow(_doc_windows(shared), "doc_id long, doc_token long, doc_at long, h long, doc_slots array<string>")
+    found = docs.select("doc_id", "text").mapInArrow(tidied(_doc_windows(shared)), "doc_id long, doc_token long, doc_at long, h long, doc_slots array<string>")
     both = found.join(items, "h").where(F.size("item_slots") == F.size("doc_slots"))
     one = F.struct("item_at", "width")
     runs = both.groupBy("doc_id", "item_id", (F.col("doc_token") - F.col("item_at")).alias("offset")).agg(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Texts, groups, small, staged, table
+from waymark.llm.common import Texts, groups, small, staged, table, tidied
 
 DIM = 4096
 SAMPLE, PER_LANGUAGE = 2000, 1000
@@ -131,7 +131,7 @@ class Model:
 def fit(train: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from train(doc_id, text, lang)."""
     train = train.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    df = {int(r.slot): int(r.n) for r in train.select("text").mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
+    df = {int(r.slot): int(r.n) for r in train.select("text").mapInArrow(tidied(_frequencies), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
     counts = np.array([df.get(i, 0) for i in range(DIM + 1)], dtype=np.float64)
     idf = np.log((1 + counts[-1]) / (1 + counts[:-1])).astype(np.float32) + np.float32(0.05)
     # Rows are ranked by a hash, each row of text once; those above a language's threshold can't be among its first and aren't ranked.
@@ -143,7 +143,7 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> Model:
     rows = rows.withColumn("all", F.row_number().over(Window.orderBy("rn", "lang"))).where(F.col("all") <= sample).select(F.col("lang").alias("l"), F.col("k").alias("_k"))
     own = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 40))
     picked = train.withColumn("k", own).join(F.broadcast(rows), (F.col("k") == F.col("_k")) & (F.col("lang") == F.col("l"))).groupBy("lang", "k").agg(F.first("text").alias("text"))
-    got = picked.select("text", "lang").mapInArrow(_sampled(idf), "lang string, v binary, n long").toPandas()
+    got = picked.select("text", "lang").mapInArrow(tidied(_sampled(idf)), "lang string, v binary, n long").toPandas()
     centroids, langs, sampled, labels = [], [], [], []
     for lang, rows in sorted(got.groupby("lang"), key=lambda x: x[0]):
         v = np.stack([np.frombuffer(x, dtype=np.float32) for x in rows.v])
@@ -206,7 +206,7 @@ def _predicted(model):
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs' doc_id with lang_pred, score (cosine, 0 to 1) and rejected, a row for each row."""
     shared = model.shared(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_predicted(shared), "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidied(_predicted(shared)), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def _accepted(model, schema):
 def recognised(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns."""
     shared = model.shared(docs.sparkSession)
-    return docs.mapInArrow(_accepted(shared, docs.schema), docs.schema)
+    return docs.mapInArrow(tidied(_accepted(shared, docs.schema)), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import bit_table, groups, mix, powers, span_hashes, staged, table, tidy
+from waymark.llm.common import bit_table, groups, mix, powers, span_hashes, staged, table, tidied, tidy
 from waymark.llm.components import components
 
 NUM, DEN = 3, 4  # Jaccard
@@ -588,14 +588,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, class_id (null: no words; equal sets share it), component_id of every row of docs(doc_id, text)."""
     docs = docs.select("doc_id", "text")
     parts = max(64, 2 * docs.rdd.getNumPartitions())
-    first = docs.mapInArrow(_members(words, parts), _MEMBERS).groupBy("part").applyInArrow(_shared(parts), _COUNTED)
+    first = docs.mapInArrow(tidied(_members(words, parts)), _MEMBERS).groupBy("part").applyInArrow(_shared(parts), _COUNTED)
     first = staged(first, "members")
     members = first.where("part is null").select("doc_id", "n_shingles", "n_half", "class_id")
     common = first.where("part is not null").select("part", "ids", "times").groupBy("part").applyInArrow(_added, "class_id long, n long")
     sizes = members.where("n_shingles > 0").groupBy("class_id").agg(F.first("n_shingles").alias("size"), F.first("n_half").alias("half"))
     # A class without a count may still have a partner where nothing must be shared.
     onward = staged(sizes.join(common, "class_id", "left").where(F.coalesce("n", F.lit(0)) >= F.col("half") - F.floor(F.col("size") * (DEN - NUM) / DEN)).select("class_id"), "onward")
-    merged = docs.mapInArrow(_signed(words, parts, _table_of(onward, "class_id")), _SIGNED).groupBy("part").applyInArrow(_merged, _MERGED)
+    merged = docs.mapInArrow(tidied(_signed(words, parts, _table_of(onward, "class_id"))), _SIGNED).groupBy("part").applyInArrow(_merged, _MERGED)
     merged = staged(merged, "signed")
     signed = merged.where("part is not null").select("part", "owners", "sizes")
     sets = merged.where("class_id is not null").select("class_id", "sketch", "features")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import staged, table
+from waymark.llm.common import staged, table, tidied
 
 SHARDS, OVERHEAD = 40, 16
 FAN, FINE, EXACT = 1024, 8, 1000
@@ -62,7 +62,7 @@ def _probed(low: np.ndarray, width: np.ndarray):
 
 def _probe(slim: DataFrame, low: np.ndarray, width: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(first key, width, bytes, rows) of the ranges with rows."""
-    rows = slim.mapInArrow(_probed(low, width), "low long, b long, n long").groupBy("low").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).collect()
+    rows = slim.mapInArrow(tidied(_probed(low, width)), "low long, b long, n long").groupBy("low").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).collect()
     own = np.maximum(1, width // FAN)
     at = np.searchsorted(low, [r.low for r in rows], side="right") - 1
     return [(r.low, int(own[i]), r.b, r.n) for r, i in zip(rows, at, strict=True)]
@@ -123,7 +123,7 @@ def placed(rows: DataFrame, slim: DataFrame, shards: int) -> DataFrame:
     if not len(p.low):
         return rows.withColumnRenamed(SIZE, "size").drop(KEY).withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    dealt = rows.mapInArrow(_dealt(p), f"{kinds}, {LEAF} int, {SHARD} int, {BEFORE} long")
+    dealt = rows.mapInArrow(tidied(_dealt(p)), f"{kinds}, {LEAF} int, {SHARD} int, {BEFORE} long")
     slot = (F.col(BEFORE) + F.row_number().over(Window.partitionBy(LEAF).orderBy(KEY, "doc_id")) - 1).cast("long")
     return dealt.withColumn("slot", slot).withColumnsRenamed({SIZE: "size", SHARD: "shard"}).drop(KEY, LEAF, BEFORE)
 
