@@ -1,9 +1,11 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fixtures import documents, prose, rows
+from waymark.llm import components as c
 from waymark.llm import ngram_join as m
 from waymark.llm.common import bit_table
 
@@ -126,3 +128,71 @@ def test_bit_table(spark):
     for bits, numbers in ((17, [0, 5, 32767, 32768, 131071]), (15, [7]), (16, [])):
         packed = bit_table(spark.createDataFrame([(x,) for x in [*numbers, *numbers, None]], "s long"), "s", bits)
         assert np.flatnonzero(np.unpackbits(packed, bitorder="little")).tolist() == numbers
+
+
+def test_signatures_of_one_group_meet_in_one_part():
+    """Groups of holders go to the part of their least hub, once each, whichever part their signatures are in."""
+    apart = pa.table({"node": pa.array([], pa.int64()), "component": pa.array([], pa.int64()), "hub": pa.array([], pa.int64())})
+    sent = {}
+    for part in range(20):
+        groups = [[7, 9, 50 + part], [7, 9], [7, 9], [-4, 8]]
+        own, sizes = np.array(sum(groups, []), dtype=np.int64), np.array([len(g) for g in groups], dtype=np.int32)
+        out = m._mixed(16)(None, pa.table({"part": [part], "owners": [own.tobytes()], "sizes": [sizes.tobytes()]}), apart)
+        for r in out.to_pylist():
+            hubs, at = np.frombuffer(r["hubs"], np.int64), 0
+            for n in np.frombuffer(r["sizes"], np.int32):
+                sent.setdefault(int(hubs[at]), []).append((r["part"], part, tuple(hubs[at : at + n].tolist())))
+                at += n
+    assert sorted(sent) == [-4, 7] and all(len({x for x, *_ in v}) == 1 and len(set(v)) == len(v) for v in sent.values())
+    assert len(sent[-4]) == 20 and {g for *_, g in sent[7]} == {(7, 9), *((7, 9, 50 + p) for p in range(20))} and len(sent[7]) == 40
+
+
+@pytest.mark.parametrize("bits", [5, 64, 1 << 20])
+def test_pairs_of_lists(monkeypatch, bits):
+    monkeypatch.setattr(m, "PAIR_BITS", bits)
+    r = np.random.default_rng(bits)
+    for _ in range(20):
+        groups = [np.sort(r.choice(50, int(r.integers(2, 30)), replace=False)) for _ in range(int(r.integers(1, 12)))]
+        lists = [(np.concatenate(g), np.cumsum([0, *map(len, g)])) for g in (groups[:3], groups[3:]) if g]
+        found = list(m._pairs(lists, 50))
+        assert {divmod(int(x), 50) for f in found for x in f} == {p for g in groups for p in itertools.combinations(g.tolist(), 2)}
+        assert all(len(f) <= 2 * max(bits, 30) for f in found)
+
+
+def test_members_of_two_hubs_are_told_together(monkeypatch):
+    """300 sets under one hub and 300 under another cost a few comparisons of arrays, not one each, and the only link is found."""
+    calls, r = [], np.random.default_rng(3)
+    for name in ("_may_link", "_link"):
+        monkeypatch.setattr(m, name, lambda *x, f=getattr(m, name), name=name: calls.append(name) or f(*x))
+    sets = [np.unique(r.integers(0, 2**64, 40, dtype=np.uint64)) for _ in range(600)]
+    sets[599] = np.unique(np.concatenate([sets[17][:38], sets[599][:2]]))
+    nodes = pa.table({"hub": pa.array([1] * 300 + [2] * 300), "node": pa.array(range(600)), "component": pa.array([1] * 300 + [2] * 300), "features": pa.array([s.tobytes() for s in sets])})
+    assert m._linked_members(None, pa.table({"a": [1], "b": [2]}), nodes).to_pylist() == [{"a": 17, "b": 599, "n": 1}]
+    assert len(calls) < 100
+
+
+def test_components_at_once(spark, monkeypatch):
+    """One task finds what rounds find, in two steps however long a chain is."""
+    r, written = np.random.default_rng(11), []
+    edges = [(i, i + 1) for i in range(60)] + [(100 + 7 * i % 60, 100 + 7 * (i + 1) % 60) for i in range(50)] + [tuple(map(int, x)) for x in r.integers(200, 400, (120, 2))] + [(5, 5)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = sorted(map(tuple, c.components(df, "a", "b").collect()))
+    monkeypatch.setattr(c, "staged", lambda df, name, f=c.staged: written.append(name) or f(df, name))
+    assert sorted(map(tuple, c.components(df, "a", "b", at_once=len(edges)).collect())) == want
+    assert written == ["edges", "components"]
+    written.clear()
+    assert sorted(map(tuple, c.components(df, "a", "b", at_once=10).collect())) == want
+    assert len(written) > 2
+    assert c.components(df.limit(0), "a", "b", at_once=10).count() == 0
+
+
+def test_only_texts_that_go_on_are_cut_again(monkeypatch):
+    cut, hashes = [], np.arange(100, dtype=np.uint64) << np.uint64(56)
+    monkeypatch.setattr(m, "feature_sets", lambda batch, words, f=m.feature_sets: cut.append(batch.num_rows) or f(batch, words))
+    bits = np.zeros(1 << 16, dtype=np.uint8)
+    bits[(hashes[[3, 60]] >> np.uint64(48)).astype(int)] = 1
+    admit = type("Sent", (), {"value": (16, np.packbits(bits, bitorder="little"))})
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(100), "text": [prose(1000 + i, 40) for i in range(100)], "text_id": hashes.view(np.int64)})
+    out = pa.Table.from_batches(list(m._signed(5, 8, admit)([batch])))
+    want = {m.digest(s) for _, s in m.feature_sets(batch.take(pa.array([3, 60])), 5)}
+    assert cut[0] == 2 and set(out.column("class_id").drop_null().to_pylist()) == want

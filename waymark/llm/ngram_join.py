@@ -14,8 +14,9 @@ only sets with enough of them go on to signatures.
 Shuffled are then packed signatures (8 bytes each), and the sets of documents that have a candidate. Links are
 verified in rounds: first each candidate set against one partner, then what isn't connected by links yet, so a group of many
 copies costs about one comparison each and no link between groups is missed. Pairs between groups are told by hubs: what links with
-two sets far enough apart can't link, as differing features are a metric. The bound is that sets' counts of features in equal ranges of the
-domain can't differ more than the sets do; these sketches go to the signatures, so pairs that are apart are never shuffled.
+two sets far enough apart can't link, as differing features are a metric. The bound is that sets' counts of features (or whether they are odd) in equal shares
+of the domain can't differ more than the sets do; these sketches go to the signatures, so pairs that are apart are never shuffled. Lists of hubs that share a signature meet in the part of their least hub: there a pair is
+told a few times, however many signatures it shares, and by some words of bits.
 
 Defined results: null text, or text without words: n_shingles 0, a component of its own. Fewer words than n: the whole
 sequence is the one n-gram. Equal texts, ties and repeated rows: one class each, all rows return. Features are 64-bit
@@ -40,10 +41,14 @@ WORDS = 5
 #: Features that may differ in one of the partitions, cells of a partition, and the choices of cells.
 DIFFER, CELLS = 2, 6
 CHOSEN = np.array([[c not in out for out in combinations(range(CELLS), DIFFER)] for c in range(CELLS)], dtype=np.uint64)
-#: log2 of the most bits of the table that tells classes that go on (32 MB at most; beyond it, more go on than need to).
+#: log2 of the most bits of the table that tells texts whose classes go on (32 MB at most; beyond it, more go on than need to).
 FILTER_BITS = 28
 #: Pairs of hubs that a task tells at once.
-PAIR_BITS = 1 << 25
+PAIR_BITS = 1 << 20
+#: Pairs of sets under two hubs that are told at once.
+MEMBER_PAIRS = 1 << 16
+#: Links whose components one task finds (64 MB); more go by rounds.
+AT_ONCE = 1 << 22
 HALF, _MASK = np.uint64(1 << 63), (1 << 64) - 1
 
 
@@ -116,7 +121,7 @@ def signatures(s: np.ndarray) -> np.ndarray:
 
 
 _SENT = "part int, packed binary, ids binary"
-_MEMBERS = f"{_SENT}, doc_id long, n_shingles long, n_half long, class_id long"
+_MEMBERS = f"{_SENT}, doc_id long, n_shingles long, n_half long, class_id long, text_id long"
 _SIGNED = f"{_SENT}, class_id long, sketch binary, features binary"
 
 
@@ -183,7 +188,8 @@ def _members(words: int, parts: int):
                         if packer.full():
                             yield _rows(_MEMBERS, **packer.flush())
                             seen = seen if len(seen) < 2_000_000 else set()
-            yield _rows(_MEMBERS, part=np.arange(len(n), dtype=np.int32) % parts, doc_id=batch.column(batch.schema.get_field_index("doc_id")), n_shingles=n, n_half=half, class_id=d)
+            doc, text = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text_id"))
+            yield _rows(_MEMBERS, part=np.arange(len(n), dtype=np.int32) % parts, doc_id=doc, n_shingles=n, n_half=half, class_id=d, text_id=text)
         if packer.ids:
             yield _rows(_MEMBERS, **packer.flush())
 
@@ -191,14 +197,14 @@ def _members(words: int, parts: int):
 
 
 def _signed(words: int, parts: int, admit):
-    """Of the distinct sets of a task that the bit table admits: class, sketch and features; and their packed signatures."""
+    """Of the distinct sets of a task whose texts the bit table admits: class, sketch and features; and their packed signatures."""
 
     def run(batches):
         seen, packer, admitted = set(), _Packer(parts), _admitted(admit)
         for batch in batches:
             sets = []
-            for _, s in feature_sets(batch, words):
-                if not len(s) or (d := digest(s)) in seen or not admitted(d):
+            for _, s in feature_sets(batch.filter(admitted(batch.column(batch.schema.get_field_index("text_id")))), words):
+                if not len(s) or (d := digest(s)) in seen:
                     continue
                 seen.add(d)
                 sets.append(((d & _MASK) % parts, d, sketch(s), s.tobytes()))
@@ -240,7 +246,7 @@ def _split(t) -> tuple[pa.Table, pa.Table]:
     return t.filter(packed), t.filter(pa.compute.invert(packed))
 
 
-_COUNTED = "part int, ids binary, times binary, doc_id long, n_shingles long, n_half long, class_id long"
+_COUNTED = "part int, ids binary, times binary, doc_id long, n_shingles long, n_half long, class_id long, text_id long"
 
 
 def _shared(parts: int):
@@ -248,7 +254,7 @@ def _shared(parts: int):
         """Of one part: for each class, how many of its features another class has too, packed by the class's part; and the members that came along."""
         tidy()
         packed, rest = _split(t)
-        out = [pa.Table.from_batches([_rows(_COUNTED, **{c: rest.column(c).combine_chunks() for c in ("doc_id", "n_shingles", "n_half", "class_id")})])] if rest.num_rows else []
+        out = [pa.Table.from_batches([_rows(_COUNTED, **{c: rest.column(c).combine_chunks() for c in ("doc_id", "n_shingles", "n_half", "class_id", "text_id")})])] if rest.num_rows else []
         if packed.num_rows:
             own, cut = _sorted_holders(packed)
             n = np.diff(cut)
@@ -321,127 +327,168 @@ def _placed(batches):
             yield _rows("part int, node long", part=np.full(len(x), part.as_py(), dtype=np.int32), node=x)
 
 
-_MIXED = "part int, hubs binary, sizes binary, hub long, component long"
+_MIXED = "part int, hubs binary, sizes binary"
 
 
-def _mixed(key, t, c):
-    """Of one part: the hubs of the holders of each signature that spans components, each list once, in one row; and those hubs with their components."""
-    tidy()
-    empty = np.zeros(0, dtype=np.int64)
-    node, comp, hub = (np.asarray(c.column(x).combine_chunks()) if c.num_rows else empty for x in ("node", "component", "hub"))
-    order = np.argsort(node)
-    node, comp, hub = node[order], comp[order], hub[order]
-    lists, seen, of = [], set(), {}
-    for owners, sizes in zip(t.column("owners"), t.column("sizes"), strict=True):
-        own, cut = _runs(owners, sizes)
-        cs, hs = own, own
-        if len(node):
-            at = np.minimum(np.searchsorted(node, own), len(node) - 1)
-            cs, hs = np.where(node[at] == own, comp[at], own), np.where(node[at] == own, hub[at], own)
-        if not len(own):
-            continue
-        spans = np.maximum.reduceat(cs, cut[:-1]) != np.minimum.reduceat(cs, cut[:-1])
-        for r in np.flatnonzero(spans):
-            h, i = np.unique(hs[cut[r] : cut[r + 1]], return_index=True)
-            if (mark := h.tobytes()) not in seen:
-                seen.add(mark)
-                lists.append(h)
-                of.update(zip(h.tolist(), cs[cut[r] : cut[r + 1]][i].tolist(), strict=True))
-    if not lists:
-        return pa.Table.from_batches([_rows(_MIXED, part=np.zeros(0, dtype=np.int32))])
-    part = t.column("part")[0].as_py()
-    blob = _rows(_MIXED, part=np.array([part], dtype=np.int32), hubs=[np.concatenate(lists).tobytes()], sizes=[np.array([len(x) for x in lists], dtype=np.int32).tobytes()])
-    return pa.Table.from_batches([blob, _rows(_MIXED, part=np.full(len(of), part, dtype=np.int32), hub=np.array(list(of)), component=np.array(list(of.values())))])
+def _mixed(parts: int):
+    def run(key, t, c):
+        """Of one part: the hubs of the holders of each signature that spans components, each list once, by the part of the list's least hub.
 
+        What several signatures say of one group comes together there, so a pair is told a few times and not once a signature.
+        """
+        tidy()
+        empty = np.zeros(0, dtype=np.int64)
+        node, comp, hub = (np.asarray(c.column(x).combine_chunks()) if c.num_rows else empty for x in ("node", "component", "hub"))
+        order = np.argsort(node)
+        node, comp, hub = node[order], comp[order], hub[order]
+        out = [_rows(_MIXED, part=np.zeros(0, dtype=np.int32))]
+        for owners, sizes in zip(t.column("owners"), t.column("sizes"), strict=True):
+            own, cut = _runs(owners, sizes)
+            if not len(own):
+                continue
+            cs, hs = own, own
+            if len(node):
+                at = np.minimum(np.searchsorted(node, own), len(node) - 1)
+                cs, hs = np.where(node[at] == own, comp[at], own), np.where(node[at] == own, hub[at], own)
+            spans = np.maximum.reduceat(cs, cut[:-1]) != np.minimum.reduceat(cs, cut[:-1])
+            if not spans.any():
+                continue
+            where = np.repeat(np.arange(len(spans)), np.diff(cut))
+            where, hs = where[np.repeat(spans, np.diff(cut))], hs[np.repeat(spans, np.diff(cut))]
+            order = np.lexsort((hs, where))
+            where, hs = where[order], hs[order]
+            keep = np.concatenate([[True], (where[1:] != where[:-1]) | (hs[1:] != hs[:-1])])
+            hs, first = hs[keep], np.flatnonzero(np.concatenate([[True], np.diff(where[keep]) != 0]))
+            n = np.diff(first, append=len(hs))
+            marks = mix(np.add.reduceat(mix(hs.view(np.uint64)), first) + n.astype(np.uint64))
+            _, once = np.unique(marks, return_index=True)
+            to = (mix(hs[first[once]].view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+            once = once[order := np.argsort(to, kind="stable")]
+            to, n = to[order], n[once]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            hs = hs[np.repeat(first[once] - ends[:-1], n) + np.arange(ends[-1])]
+            used = np.unique(to)
+            low, high = np.searchsorted(to, used), np.searchsorted(to, used, side="right")
+            blobs = [(hs[ends[x] : ends[y]].tobytes(), n[x:y].astype(np.int32).tobytes()) for x, y in zip(low, high, strict=True)]
+            out.append(_rows(_MIXED, part=used, hubs=[x for x, _ in blobs], sizes=[y for _, y in blobs]))
+        return pa.Table.from_batches(out)
 
-def _near(key, t, s):
-    """Of one part: pairs of hubs that hold one signature, stand in different components, and aren't apart by their sketches.
+    return run
 
-    A table of bits by pair (PAIR_BITS of them at a time) tells each pair once, however many signatures propose it.
-    """
+
+def _held(batches):
+    """place, hub: the hubs that the lists of each part hold."""
+    for batch in batches:
+        for part, hubs in zip(batch.column(0), batch.column(1), strict=True):
+            x = np.unique(np.frombuffer(hubs.as_buffer(), np.int64))
+            yield _rows("place int, hub long", place=np.full(len(x), part.as_py(), dtype=np.int32), hub=x)
+
+
+def _pairs(lists: list[tuple[np.ndarray, np.ndarray]], n: int):
+    """Pairs i < j of numbers under n that stand in one list, as i * n + j; some PAIR_BITS at once, each once among those. lists: ascending runs (numbers, bounds)."""
+    by_size: dict[int, list] = {}
+    for at, cut in lists:
+        sizes = np.diff(cut)
+        for m in np.unique(sizes):
+            by_size.setdefault(int(m), []).append(at[cut[:-1][sizes == m][:, None] + np.arange(m)])
+    held, size = [], 0
+    for m in sorted(by_size):
+        same = np.unique(np.concatenate(by_size.pop(m)), axis=0)
+        # Rows of the triangle, then lists, that make no more pairs than are told at once.
+        rows, low = max(1, PAIR_BITS // m), 0
+        while low < m - 1:
+            x, y = (k + low for k in np.nonzero(np.arange(low, min(low + rows, m))[:, None] < np.arange(low, m)[None]))
+            low += rows
+            step = max(1, PAIR_BITS // len(x))
+            for k in range(0, len(same), step):
+                held.append((same[k : k + step, x] * n + same[k : k + step, y]).ravel())
+                size += len(held[-1])
+                if size >= PAIR_BITS:
+                    yield np.unique(np.concatenate(held))
+                    held, size = [], 0
+    if held:
+        yield np.unique(np.concatenate(held))
+
+
+def _near(key, t, s):
+    """Of one part: pairs of hubs that stand in one list, and in different components, and aren't apart by their sketches."""
     tidy()
     hub, comp, reach, most, wide = (s.column(c).combine_chunks() for c in ("hub", "component", "reach", "most", "wide"))
     order = np.argsort(np.asarray(hub))
     hub, comp, reach, most = (np.asarray(c)[order] for c in (hub, comp, reach, most))
     sketches = Sketches([wide[int(i)].as_buffer() for i in order])
-    groups_ = []
+    lists = []
     for hubs, sizes in zip(t.column("hubs"), t.column("sizes"), strict=True):
         own, cut = _runs(hubs, sizes)
-        at = np.searchsorted(hub, own)
-        groups_ += [at[cut[r] : cut[r + 1]] for r in range(len(cut) - 1)]
-    found = []
-    rows = max(1, PAIR_BITS // max(1, len(hub)))
-    for low in range(0, len(hub), rows):
-        table_ = np.zeros((min(rows, len(hub) - low), len(hub)), dtype=bool)
-        for g in groups_:
-            i = g[np.searchsorted(g, low) : np.searchsorted(g, low + rows)]
-            if len(i):
-                table_[np.ix_(i - low, g)] = True
-        for r in range(len(table_)):
-            j = np.flatnonzero(table_[r, low + r + 1 :]) + low + r + 1
-            i = low + r
-            j = j[comp[j] != comp[i]]
-            j = j[~sketches.apart(i, j, reach[i] + reach[j] + most[i] + most[j])]
-            found.append(np.stack([np.full(len(j), hub[i]), hub[j]], 1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        lists.append((np.searchsorted(hub, own), cut))
+    found = [np.zeros(0, dtype=np.int64)]
+    for codes in _pairs(lists, len(hub)):
+        i, j = np.divmod(codes, len(hub))
+        differ = comp[i] != comp[j]
+        codes, i, j = codes[differ], i[differ], j[differ]
+        found.append(codes[~sketches.apart(i, j, reach[i] + reach[j] + most[i] + most[j])])
+    i, j = np.divmod(np.unique(np.concatenate(found)), max(1, len(hub)))
+    return pa.table({"a": pa.array(hub[i]), "b": pa.array(hub[j])})
 
 
 def wide_sketch(s: np.ndarray) -> bytes:
-    """Size of a set, then how many of its features (3 at most) fall into each of 4 equal ranges of the domain a feature or more, two bits each."""
-    bits = max(4, (2 * len(s)).bit_length())
-    n = np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 3).astype(np.uint8).reshape(-1, 4)
-    return len(s).to_bytes(8, "little") + (n[:, 0] | n[:, 1] << 2 | n[:, 2] << 4 | n[:, 3] << 6).tobytes()
-
-
-_FIELDS = np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], dtype=np.uint8) & 3  # a byte's four counts
-_BYTES_APART = np.abs(_FIELDS[:, None].astype(np.int16) - _FIELDS[None]).sum(2).astype(np.uint16).ravel()
+    """Size of a set, then one bit for each of 4 to 8 equal shares of the domain a feature: whether an odd number of features falls there."""
+    bits = max(6, (4 * len(s)).bit_length())
+    odd = np.bincount((s & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits).astype(np.uint8) & 1
+    return len(s).to_bytes(8, "little") + np.packbits(odd, bitorder="little").tobytes()
 
 
 class Sketches:
-    """Wide sketches of sets, to be compared one with many."""
+    """Wide sketches of sets, to be compared with each other.
+
+    Shares are told by the lower bits of features, so a sketch's halves, one upon the other, are the sketch of half as many shares.
+    """
 
     def __init__(self, wide: list):
-        raw = [np.frombuffer(x, np.uint8) for x in wide]
-        self.size = np.array([int(x[:8].copy().view("<u8")[0]) for x in raw], dtype=np.int64)
-        self.length = np.array([len(x) - 8 for x in raw], dtype=np.int64)
+        raw = [np.frombuffer(x, "<u8") for x in wide]
+        self.size = np.array([x[0] for x in raw], dtype=np.int64)
+        self.length = np.array([len(x) - 1 for x in raw], dtype=np.int64)
         self.place = np.zeros(len(raw), dtype=np.int64)  # within the sketches of that length
         self.of = {}
         for n in np.unique(self.length):
             at = np.flatnonzero(self.length == n)
             self.place[at] = np.arange(len(at))
-            self.of[int(n)] = np.stack([raw[i][8:] for i in at])
-
-    def distance(self, i: int, j: np.ndarray) -> np.ndarray:
-        """At most as many features as differ between set i and each of sets j."""
+            self.of[int(n), int(n)] = np.stack([raw[i][1:] for i in at])
+
+    def _folded(self, n: int, words: int) -> np.ndarray:
+        """The sketches of n words, in so many."""
+        if (n, words) not in self.of:
+            twice = self._folded(n, 2 * words)
+            self.of[n, words] = twice[:, :words] ^ twice[:, words:]
+        return self.of[n, words]
+
+    def distance(self, i, j: np.ndarray, fold: int = 0) -> np.ndarray:
+        """At most as many features as differ between sets i (one, or one a set j) and sets j. fold: how often sketches are halved before."""
+        i = np.broadcast_to(i, len(j))
         out = np.abs(self.size[j] - self.size[i])
-        p, m = self.of[int(self.length[i])][self.place[i]], int(self.length[i])
-        for n in np.unique(self.length[j]):
-            at = np.flatnonzero(self.length[j] == n)
-            step = max(1, (1 << 20) // int(max(n, m)))
+        lengths = self.length[i] << 32 | self.length[j]
+        for both in np.unique(lengths):
+            n, m = int(both) >> 32, int(both) & 0xFFFFFFFF
+            words, at = max(1, min(n, m) >> fold), np.flatnonzero(lengths == both)
+            x, y = self._folded(n, words), self._folded(m, words)
+            step = max(1, (1 << 17) // words)
             for s in range(0, len(at), step):
-                q = self.of[int(n)][self.place[j[at[s : s + step]]]]
-                if n == m:
-                    d = _BYTES_APART[p.astype(np.uint16) << 8 | q].sum(1, dtype=np.int64)
-                else:
-                    k = 4 * min(n, m)
-                    x, y = _FIELDS[p].reshape(1, k, -1).sum(2, dtype=np.int32), _FIELDS[q].reshape(len(q), k, -1).sum(2, dtype=np.int32)
-                    summed, plain = (x, y) if m > n else (y, x)
-                    # A count of 3 stands for 3 or more; a sum under 3 has none in it.
-                    d = np.where(((summed > plain) & (plain < 3)) | ((summed < plain) & (summed < 3)), np.abs(summed - plain), 0).sum(1)
-                out[at[s : s + step]] = np.maximum(out[at[s : s + step]], d)
+                k = at[s : s + step]
+                d = np.bitwise_count(x[self.place[i[k]]] ^ y[self.place[j[k]]]).sum(1, dtype=np.int64)
+                out[k] = np.maximum(out[k], d)
         return out
 
-    def apart(self, i: int, j: np.ndarray, allowed) -> np.ndarray:
-        """Whether no set with hub i can link with one that has hub j.
+    def apart(self, i, j: np.ndarray, allowed) -> np.ndarray:
+        """Whether no set with hub i (one, or one a hub j) can link with one that has hub j.
 
         Differing features are a metric: sets u, v that link with hubs x, y differ in at least |x - y| - (|u| + |x|) / 7 - (|v| + |y|) / 7, and link
         only at (|u| + |v|) / 7 or less. allowed: the largest |u| + |x| (0 if x is alone), |v| + |y|, |u| and |v|, added.
         """
-        allowed = np.broadcast_to(allowed, len(j))
+        i, allowed = np.broadcast_to(i, len(j)), np.broadcast_to(allowed, len(j))
         out = (DEN + NUM) * np.abs(self.size[j] - self.size[i]) > (DEN - NUM) * allowed
-        left = np.flatnonzero(~out)
-        out[left] = (DEN + NUM) * self.distance(i, j[left]) > (DEN - NUM) * allowed[left]
+        for fold in (2, 0):
+            left = np.flatnonzero(~out)
+            out[left] = (DEN + NUM) * self.distance(i[left], j[left], fold) > (DEN - NUM) * allowed[left]
         return out
 
 
@@ -467,28 +514,30 @@ def _near_hubs(signed: DataFrame, sets: DataFrame, assigned: DataFrame, sizes: D
     Pairs are told apart where the signature is, by sketches that go there: one for each hub and part with a signature that spans
     components, so at most one for each signature. What is proposed and apart makes no row.
     """
+    parts = max(64, signed.count())  # a row a part
     known = signed.mapInArrow(_placed, "part int, node long").join(assigned, "node")
-    mixed = staged(signed.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_mixed, _MIXED), "mixed")
-    placed = mixed.where("hub is not null").select(F.col("part").alias("place"), "hub", "component")
+    lists = staged(signed.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_mixed(parts), _MIXED), "mixed")
+    placed = staged(lists.mapInArrow(_held, "place int, hub long").distinct(), "placed")
     wide = sets.select("class_id", "features").join(placed.select(F.col("hub").alias("class_id")).distinct(), "class_id", "left_semi").mapInArrow(_widened, "class_id long, wide binary")
     of = lambda c, to: sizes.select(F.col("class_id").alias(c), F.col("size").alias(to))
     spread = assigned.where("node <> hub").join(of("node", "s"), "node").join(of("hub", "h"), "hub").groupBy(F.col("hub").alias("class_id")).agg(F.max(F.col("s") + F.col("h")).alias("reach"), F.max("s").alias("largest"))
-    wide = wide.join(sizes.select("class_id", "size"), "class_id").join(spread, "class_id", "left")
-    wide = staged(wide.select(F.col("class_id").alias("hub"), "wide", F.coalesce("reach", F.lit(0)).alias("reach"), F.greatest("size", F.coalesce("largest", F.lit(0))).alias("most")), "wide")
-    lists = mixed.where("hubs is not null").select("part", "hubs", "sizes")
-    near = lists.groupBy("part").cogroup(placed.join(wide, "hub").groupBy("place")).applyInArrow(_near, "a long, b long")
+    wide = wide.join(sizes.select("class_id", "size"), "class_id").join(spread, "class_id", "left").join(assigned.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    wide = wide.select(
+        F.col("class_id").alias("hub"), "wide", F.coalesce("component", "class_id").alias("component"),
+        F.coalesce("reach", F.lit(0)).alias("reach"), F.greatest("size", F.coalesce("largest", F.lit(0))).alias("most"),
+    )
+    near = lists.groupBy("part").cogroup(placed.join(staged(wide, "wide"), "hub").groupBy("place")).applyInArrow(_near, "a long, b long")
     return staged(near.distinct(), "near-hubs")
 
 
 def _linked_members(key, t, s):
-    """Of one block: links between what has one hub of a pair and what has the other. A pair of sets whose components are connected already is passed over."""
+    """Of one block: links between what has one hub of a pair and what has the other. A pair of hubs whose components are connected already is passed over."""
     tidy()
-    node, comp = s.column("node").to_pylist(), s.column("component").to_pylist()
+    node, comp, hub = (np.asarray(s.column(c).combine_chunks()) for c in ("node", "component", "hub"))
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in s.column("features")]
-    brief = [sketch(x) for x in sets]
-    under: dict[int, list[int]] = {}
-    for i, h in enumerate(s.column("hub").to_pylist()):
-        under.setdefault(h, []).append(i)
+    brief = Sketches([wide_sketch(x) for x in sets])
+    order = np.argsort(hub, kind="stable")
+    under = lambda h: order[np.searchsorted(hub, h, sorter=order) : np.searchsorted(hub, h, "right", sorter=order)]
     root: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -496,14 +545,23 @@ def _linked_members(key, t, s):
             c = root[c]
         return c
 
+    def link(left, right):
+        """A link between the sets left and the sets right."""
+        step = max(1, MEMBER_PAIRS // len(right))
+        for k in range(0, len(left), step):
+            i, j = np.repeat(left[k : k + step], len(right)), np.tile(right, len(left[k : k + step]))
+            for n in np.flatnonzero(~brief.apart(i, j, brief.size[i] + brief.size[j])):
+                if _link(sets[i[n]], sets[j[n]]):
+                    return i[n], j[n]
+
     found = []
     for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True):
-        for i in under.get(a, ()):
-            for j in under.get(b, ()):
-                x, y = find(comp[i]), find(comp[j])
-                if x != y and _may_link(brief[i], brief[j]) and _link(sets[i], sets[j]):
-                    root[max(x, y)] = min(x, y)
-                    found.append((node[i], node[j]))
+        left, right = under(a), under(b)
+        if len(left) and len(right):  # what has one hub is one component
+            x, y = find(int(comp[left[0]])), find(int(comp[right[0]]))
+            if x != y and (pair := link(left, right)):
+                root[max(x, y)] = min(x, y)
+                found.append((node[pair[0]], node[pair[1]]))
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64()), "n": pa.array([1] * len(found), pa.int64())})
 
 
@@ -528,16 +586,20 @@ def _member_links(near: DataFrame, sets: DataFrame, assigned: DataFrame, comp: D
 
 
 def _table_of(rows: DataFrame, col: str):
-    """A bit table of bounded size, broadcast: whether a class whose digest starts so stands in the column."""
+    """A bit table of bounded size, broadcast: whether a hash that starts so stands in the column."""
     bits = min(FILTER_BITS, max(16, int(rows.agg(F.approx_count_distinct(col)).first()[0]).bit_length() + 6))
     return rows.sparkSession.sparkContext.broadcast((bits, bit_table(rows.select(F.shiftrightunsigned(col, 64 - bits).alias("s")), "s", bits)))
 
 
 def _admitted(admit):
-    if admit is None:
-        return lambda d: True
+    """Which of a column of hashes the table admits."""
     bits, packed = admit.value
-    return lambda d: bool(packed[(s := (d & _MASK) >> 64 - bits) >> 3] >> (s & 7) & 1)
+
+    def run(col: pa.Array) -> pa.Array:
+        x = np.asarray(col).view(np.uint64) >> np.uint64(64 - bits)
+        return pa.array((packed[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+
+    return run
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -586,16 +648,18 @@ def _passed(pairs: DataFrame, sets: DataFrame, col: str, test) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, class_id (null: no words; equal sets share it), component_id of every row of docs(doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_id"))
     parts = max(64, 2 * docs.rdd.getNumPartitions())
     first = docs.mapInArrow(tidied(_members(words, parts)), _MEMBERS).groupBy("part").applyInArrow(_shared(parts), _COUNTED)
     first = staged(first, "members")
-    members = first.where("part is null").select("doc_id", "n_shingles", "n_half", "class_id")
+    members = first.where("part is null").select("doc_id", "n_shingles", "n_half", "class_id", "text_id")
     common = first.where("part is not null").select("part", "ids", "times").groupBy("part").applyInArrow(_added, "class_id long, n long")
     sizes = members.where("n_shingles > 0").groupBy("class_id").agg(F.first("n_shingles").alias("size"), F.first("n_half").alias("half"))
     # A class without a count may still have a partner where nothing must be shared.
     onward = staged(sizes.join(common, "class_id", "left").where(F.coalesce("n", F.lit(0)) >= F.col("half") - F.floor(F.col("size") * (DEN - NUM) / DEN)).select("class_id"), "onward")
-    merged = docs.mapInArrow(tidied(_signed(words, parts, _table_of(onward, "class_id"))), _SIGNED).groupBy("part").applyInArrow(_merged, _MERGED)
+    # Only texts of those classes are cut into words again.
+    texts = members.join(onward, "class_id", "left_semi").select("text_id")
+    merged = docs.mapInArrow(tidied(_signed(words, parts, _table_of(texts, "text_id"))), _SIGNED).groupBy("part").applyInArrow(_merged, _MERGED)
     merged = staged(merged, "signed")
     signed = merged.where("part is not null").select("part", "owners", "sizes")
     sets = merged.where("class_id is not null").select("class_id", "sketch", "features")
@@ -603,14 +667,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     # Of the first holder of each signature with the others, the likeliest pair of each set.
     once = proposed.groupBy("b").agg(F.max(F.struct("n", "a")).alias("top")).select(F.col("top.a").alias("a"), "b", F.col("top.n").alias("n"))
     links = staged(_passed(once, sets, "features", _link), "links")
-    comp = components(links, "a", "b")
+    comp = components(links, "a", "b", at_once=AT_ONCE)
     # Between components: first hubs themselves, then what has hubs that are near each other and still apart.
     assigned = _hubs(links, comp)
     near = _near_hubs(signed, sets, assigned, sizes).withColumn("n", F.lit(1).cast("long"))
     links = staged(links.unionByName(_passed(_passed(near, sets, "sketch", _may_link), sets, "features", _link)), "links")
-    comp = components(links, "a", "b")
+    comp = components(links, "a", "b", at_once=AT_ONCE)
     links = staged(links.unionByName(_member_links(_apart(near, comp), sets, assigned, comp)), "links")
-    comp = components(links, "a", "b")
+    comp = components(links, "a", "b", at_once=AT_ONCE)
     classes = members.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("first_id"))
     named = classes.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
