@@ -159,6 +159,31 @@ def test_pairs_of_lists(monkeypatch, bits):
         assert all(len(f) <= 2 * max(bits, 30) for f in found)
 
 
+@pytest.mark.parametrize("marks", [100, 1 << 24])
+def test_long_lists_are_dealt_by_blocks(monkeypatch, marks):
+    """Pairs of a large group, which many lists hold, go to many parts; each pair is told once there, and none is missing."""
+    monkeypatch.setattr(m, "MARKS", marks)
+    monkeypatch.setattr(m, "PAIR_BITS", 1 << 10)
+    r, told = np.random.default_rng(23), []
+    ids = np.sort(r.integers(-(2**63), 2**63, 400))
+    groups = [np.concatenate([ids[:1], np.sort(r.choice(ids[1:], int(n), replace=False))]) for n in r.integers(150, 300, 30)] + [ids[3:5], ids[-70:-2]]
+    none = pa.table({k: pa.array([], pa.int64()) for k in ("node", "component", "hub")})
+    own, sizes = np.concatenate(groups), np.array([len(g) for g in groups], dtype=np.int32)
+    out = m._mixed(64)(None, pa.table({"part": [0], "owners": [own.tobytes()], "sizes": [sizes.tobytes()]}), none)
+    monkeypatch.setattr(m.Sketches, "apart", lambda self, i, j, allowed: told.append(len(j)) or np.zeros(len(j), dtype=bool))
+    found, most, wide = [], [], m.wide_sketch(np.arange(9, dtype=np.uint64))
+    for part in sorted(set(out.column("part").to_pylist())):
+        lists = out.filter(pa.compute.equal(out.column("part"), part))
+        held = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in lists.column("hubs").to_pylist()]))
+        hubs = pa.table({"hub": held, "component": held, "reach": np.zeros(len(held), dtype=np.int64), "most": np.full(len(held), 9), "wide": [wide] * len(held)})
+        told.clear()
+        found += [(x["a"], x["b"]) for x in m._near(None, lists, hubs, 64).to_pylist()]
+        most.append(sum(told))
+    want = {p for g in groups for p in itertools.combinations(g.tolist(), 2)}
+    assert set(found) == want and sum(most) == len(found) <= len(want) + 1
+    assert max(most) < len(want) / 4
+
+
 def test_members_of_two_hubs_are_told_together(monkeypatch):
     """300 sets under one hub and 300 under another cost a few comparisons of arrays, not one each, and the only link is found."""
     calls, r = [], np.random.default_rng(3)

@@ -26,6 +26,7 @@ hashes and classes 64-bit digests of sets: two different ones coincide with a pr
 from __future__ import annotations
 
 from itertools import combinations
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,10 @@ CHOSEN = np.array([[c not in out for out in combinations(range(CELLS), DIFFER)]
 FILTER_BITS = 28
 #: Pairs of hubs that a task tells at once.
 PAIR_BITS = 1 << 20
+#: Hubs of the longest list that goes to one part whole; pairs of longer ones are dealt by blocks.
+LONG = 64
+#: Pairs of a block of hubs that a task marks at once (a byte each).
+MARKS = 1 << 24
 #: Pairs of sets under two hubs that are told at once.
 MEMBER_PAIRS = 1 << 16
 #: Links whose components one task finds (64 MB); more go by rounds.
@@ -330,11 +335,35 @@ def _placed(batches):
 _MIXED = "part int, hubs binary, sizes binary"
 
 
+def _groups(parts: int) -> int:
+    """Groups that hubs of long lists fall into; their pairs make the blocks, some parts / 8 of them."""
+    return max(4, isqrt(parts) // 2)
+
+
+def _group(hubs: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(hubs.view(np.uint64) ^ np.uint64(0x6A09E667F3BCC909)) % np.uint64(groups)).astype(np.int64)
+
+
+def _in_blocks(hs: np.ndarray, n: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists hs of n hubs each, cut into what each pair of groups holds of them: part (beyond the others), number of hubs, and hubs."""
+    groups = _groups(parts)
+    x, y = np.tile(_group(hs, groups), groups), np.repeat(np.arange(groups), len(hs))
+    to, which, hs = parts + np.minimum(x, y) * groups + np.maximum(x, y), np.tile(np.repeat(np.arange(len(n)), n), groups), np.tile(hs, groups)
+    order = np.argsort(place := to * len(n) + which, kind="stable")  # lists ascend already
+    to, x, hs = to[order], x[order], hs[order]
+    first = np.flatnonzero(np.diff(place[order], prepend=-1))
+    n, to = np.diff(first, append=len(hs)), to[first]
+    low, high = np.divmod(to - parts, groups)
+    keep = (n > 1) & ((low == high) | (np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first)))
+    return to[keep], n[keep], hs[np.repeat(keep, n)]
+
+
 def _mixed(parts: int):
     def run(key, t, c):
         """Of one part: the hubs of the holders of each signature that spans components, each list once, by the part of the list's least hub.
 
-        What several signatures say of one group comes together there, so a pair is told a few times and not once a signature.
+        What several signatures say of one group comes together there, so a pair is told a few times and not once a signature. Long lists, most of
+        whose pairs stand in many of them, go by blocks instead: a pair is told in one of them, and no part gets all pairs of a large group.
         """
         tidy()
         empty = np.zeros(0, dtype=np.int64)
@@ -367,6 +396,10 @@ def _mixed(parts: int):
             to, n = to[order], n[once]
             ends = np.concatenate([[0], np.cumsum(n)])
             hs = hs[np.repeat(first[once] - ends[:-1], n) + np.arange(ends[-1])]
+            if (long := n > LONG).any():
+                more = _in_blocks(hs[np.repeat(long, n)], n[long], parts)
+                to, n, hs = (np.concatenate([a, b]) for a, b in zip((to[~long], n[~long], hs[np.repeat(~long, n)]), more, strict=True))
+                ends = np.concatenate([[0], np.cumsum(n)])
             used = np.unique(to)
             low, high = np.searchsorted(to, used), np.searchsorted(to, used, side="right")
             blobs = [(hs[ends[x] : ends[y]].tobytes(), n[x:y].astype(np.int32).tobytes()) for x, y in zip(low, high, strict=True)]
@@ -410,8 +443,28 @@ def _pairs(lists: list[tuple[np.ndarray, np.ndarray]], n: int):
         yield np.unique(np.concatenate(held))
 
 
-def _near(key, t, s):
-    """Of one part: pairs of hubs that stand in one list, and in different components, and aren't apart by their sketches."""
+def _crossed(lists: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray, n: int):
+    """Pairs i < j of numbers under n, one of left and one of right (the same, or without a common one), that stand in one list, as i * n + j; each once, at most PAIR_BITS at once."""
+    of_left, of_right = (np.full(n, -1) for _ in range(2))
+    of_left[left], of_right[right] = np.arange(len(left)), np.arange(len(right))
+    runs = [(of_left[own], of_right[own]) for at, cut in lists for own in np.split(at, cut[1:-1])]
+    runs = [(a[a >= 0], b[b >= 0]) for a, b in runs]
+    step = max(1, MARKS // max(1, len(right)))
+    for low in range(0, len(left), step):
+        seen = np.zeros((min(step, len(left) - low), len(right)), dtype=bool)
+        for a, b in runs:
+            a = a[np.searchsorted(a, low) : np.searchsorted(a, low + step)] - low
+            seen[a[:, None], b] = True
+        seen = seen.ravel()
+        for k in range(0, len(seen), PAIR_BITS):
+            i, j = np.divmod(np.flatnonzero(seen[k : k + PAIR_BITS]) + k, len(right))
+            i, j = left[i + low], right[j]
+            codes = np.minimum(i, j) * n + np.maximum(i, j)
+            yield codes[i < j] if left is right else codes
+
+
+def _near(key, t, s, parts: int = 0):
+    """Of one part: pairs of hubs that stand in one list, and in different components, and aren't apart by their sketches. Parts from `parts` on are blocks."""
     tidy()
     hub, comp, reach, most, wide = (s.column(c).combine_chunks() for c in ("hub", "component", "reach", "most", "wide"))
     order = np.argsort(np.asarray(hub))
@@ -422,7 +475,14 @@ def _near(key, t, s):
         own, cut = _runs(hubs, sizes)
         lists.append((np.searchsorted(hub, own), cut))
     found = [np.zeros(0, dtype=np.int64)]
-    for codes in _pairs(lists, len(hub)):
+    if parts and (part := t.column("part")[0].as_py()) >= parts:
+        x, y = divmod(part - parts, _groups(parts))
+        group = _group(hub, _groups(parts))
+        left = np.flatnonzero(group == x)
+        told = _crossed(lists, left, left if x == y else np.flatnonzero(group == y), len(hub))
+    else:
+        told = _pairs(lists, len(hub))
+    for codes in told:
         i, j = np.divmod(codes, len(hub))
         differ = comp[i] != comp[j]
         codes, i, j = codes[differ], i[differ], j[differ]
@@ -526,7 +586,7 @@ def _near_hubs(signed: DataFrame, sets: DataFrame, assigned: DataFrame, sizes: D
         F.col("class_id").alias("hub"), "wide", F.coalesce("component", "class_id").alias("component"),
         F.coalesce("reach", F.lit(0)).alias("reach"), F.greatest("size", F.coalesce("largest", F.lit(0))).alias("most"),
     )
-    near = lists.groupBy("part").cogroup(placed.join(staged(wide, "wide"), "hub").groupBy("place")).applyInArrow(_near, "a long, b long")
+    near = lists.groupBy("part").cogroup(placed.join(staged(wide, "wide"), "hub").groupBy("place")).applyInArrow(lambda key, t, s: _near(key, t, s, parts), "a long, b long")
     return staged(near.distinct(), "near-hubs")
 
 
