@@ -16,7 +16,11 @@ def _valued(houses: DataFrame) -> DataFrame:
 
 def estimates(houses: DataFrame, asked: DataFrame) -> DataFrame:
     """doc_id, number, lat_e7, lon_e7 of each of asked(doc_id, number) that can be estimated: an aggregate a number, over the houses of its side of the street."""
-    rows = _valued(houses).select("doc_id", F.pmod("v", F.lit(2)).alias("side"), F.struct("v", "lat_e7", "lon_e7").alias("h"), "place")
+    # Equal houses are one before their numbers are read (by way of n, so that no filter on v goes below the aggregate); of a value only the first house counts.
+    once = houses.where("lat_e7 is not null").groupBy("doc_id", "number", "lat_e7", "lon_e7").agg(F.count("*").alias("n"))
+    rows = once.withColumn("v", F.when(F.col("n") > 0, house.leading(F.col("number")))).where("v is not null").withColumn("place", F.struct("number", "lat_e7", "lon_e7"))
+    rows = rows.groupBy("doc_id", "v").agg(F.min("place").alias("place")).select("doc_id", "v", "place", "place.lat_e7", "place.lon_e7")
+    rows = rows.select("doc_id", F.pmod("v", F.lit(2)).alias("side"), F.struct("v", "lat_e7", "lon_e7").alias("h"), "place")
     want = asked.where("number > 0").select("doc_id", F.col("number").alias("want"), F.pmod("number", F.lit(2)).alias("side")).distinct()
     both = want.join(rows, ["doc_id", "side"]).groupBy("doc_id", "want").agg(
         F.min_by("h", F.when(F.col("h.v") <= F.col("want"), F.struct(-F.col("h.v"), "place"))).alias("below"), F.min_by("h", F.when(F.col("h.v") >= F.col("want"), F.struct("h.v", "place"))).alias("above")
